@@ -78,28 +78,34 @@ def _order_statistics(values: DataFrame, ranks: list[int], n: int, most: int) ->
     brackets = [(min(a, b), max(a, b)) for a, b in zip(bounds[::2], bounds[1::2], strict=True)]
     lows = values.agg(*[F.count_if(F.col("v") < F.lit(a)).alias(f"b{i}") for i, (a, _) in enumerate(brackets)], *[F.count_if((F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))).alias(f"i{i}") for i, (a, b) in enumerate(brackets)]).first()
     out: dict[int, float] = {}
+    small: list[int] = []
     for i, rank in enumerate(ranks):
         low, high = brackets[i]
         below, inside = lows[f"b{i}"], lows[f"i{i}"]
-        if rank < below or rank >= below + inside:  # the approximation was off: widen to the side it missed
+        if not below <= rank < below + inside:  # the approximation was off: go on in the side it missed
             side = values.where(F.col("v") < F.lit(low)) if rank < below else values.where(F.col("v") > F.lit(high))
-            own, at = side, rank if rank < below else rank - below - inside
-        else:
-            own, at = values.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))), rank - below
-        counts = own.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        if low == high and below <= rank < below + inside:
+            at = rank if rank < below else rank - below - inside
+            out[rank] = next(iter(_order_statistics(side, [at], side.count(), most).values()))
+        elif low == high:
             out[rank] = low
-            continue
-        size = counts.count()
-        if size > most:
-            out |= {rank: v for v in _order_statistics(own, [at], own.count(), most).values()}
-            continue
-        seen = 0
-        for row in counts.orderBy("v").toLocalIterator():
-            seen += row["n"]
-            if at < seen:
-                out[rank] = row["v"]
-                break
+        elif inside <= most // max(1, len(ranks)):
+            small.append(i)
+        else:
+            own = values.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+            out[rank] = next(iter(_order_statistics(own, [rank - below], inside, most).values()))
+    if small:  # few values are left around these ranks: count them all at once
+        near = F.lit(False)
+        for i in small:
+            near = near | ((F.col("v") >= F.lit(brackets[i][0])) & (F.col("v") <= F.lit(brackets[i][1])))
+        counts = [(x["v"], x["n"]) for x in values.where(near).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()]
+        for i in small:
+            seen = lows[f"b{i}"]
+            for v, k in counts:
+                if brackets[i][0] <= v <= brackets[i][1]:
+                    seen += k
+                    if ranks[i] < seen:
+                        out[ranks[i]] = v
+                        break
     return out
 
 

@@ -303,8 +303,9 @@ def _fit_negbin(data: DataFrame, design: formulas.Design, formula: str, n: int,
         if float(step @ grad) < 0:
             step = np.append(_solve(a, g), np.sign(ga) * 0.5)
         step = np.clip(step, -5, 5)
-        if np.abs(step).max() <= 1e-9 * max(1.0, np.abs(theta).max()):
-            settled = True
+        at_poisson = theta[k] < -12 and np.abs(step[:k]).max() <= 1e-9 * max(1.0, np.abs(theta[:k]).max())
+        if at_poisson or np.abs(step).max() <= 1e-9 * max(1.0, np.abs(theta).max()):
+            settled = True  # a dispersion that runs to zero leaves the Poisson model
             break
         theta = theta + step
     if not settled and not np.isfinite(theta).all():
