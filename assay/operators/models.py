@@ -316,8 +316,12 @@ def _fit_negbin(data: DataFrame, design: formulas.Design, formula: str, n: int,
     cov = _inverse(info)
     alpha_se = math.sqrt(cov[k, k]) if cov[k, k] > 0 else None
     p = k + 1
-    mean = sy / n
-    return Fitted("negbin", formula, design, theta[:k].tolist(), cov[:k, :k].tolist(), n, n - k, last, -2 * last + 2 * p, -2 * last + p * math.log(n), extra={"alpha": al, "alpha_se": alpha_se, "converged": settled, "mean": mean})
+    pseudo = 0.0
+    if k > 1 or not design.intercept:
+        empty = formulas.Design(design.outcome, design.outcome_source, True, [], names=["Intercept"])
+        null = _fit_negbin(data.select(F.lit(1.0).alias("x0"), "y"), empty, formula, n, False)
+        pseudo = 1 - last / null.llf
+    return Fitted("negbin", formula, design, theta[:k].tolist(), cov[:k, :k].tolist(), n, n - k, last, -2 * last + 2 * p, -2 * last + p * math.log(n), extra={"alpha": al, "alpha_se": alpha_se, "converged": settled, "pseudo_r_squared": pseudo})
 
 
 # --- diagnostics ---------------------------------------------------------------------------------
@@ -418,7 +422,7 @@ def interpretation(model: Fitted) -> str:
 
 def fit_block(model: Fitted) -> dict[str, Any]:
     out: dict[str, Any] = {"aic": model.aic, "bic": model.bic, "n_obs": model.n_obs, "df_resid": model.df_resid, "log_likelihood": model.llf}
-    keys = {"ols": ("r_squared", "adj_r_squared"), "logistic": ("pseudo_r_squared",), "poisson": ("pseudo_r_squared", "dispersion"), "negbin": ("alpha", "alpha_se", "converged")}[model.kind]
+    keys = {"ols": ("r_squared", "adj_r_squared"), "logistic": ("pseudo_r_squared",), "poisson": ("pseudo_r_squared", "dispersion"), "negbin": ("alpha", "alpha_se", "converged", "pseudo_r_squared")}[model.kind]
     return out | {k: model.extra[k] for k in keys}
 
 

@@ -167,10 +167,10 @@ def split_rows(df: DataFrame, fraction: float = 0.25, seed: int = 42, stratify_b
     spark = df.sparkSession
     place = F.row_number().over(Window.partitionBy(key).orderBy(RID)) - 1
     rows = [(k, int(i)) for k, mask in zip(order, masks, strict=True) for i in np.flatnonzero(mask)]
-    tests = spark.createDataFrame(rows, "k string, i long") if rows else spark.createDataFrame([], "k string, i long")
+    tests = spark.createDataFrame(rows, "__tk string, __ti long")
     ranked = df.withColumn("__k", key).withColumn("__i", place.cast("long"))
-    joined = ranked.join(tests.withColumn("__test", F.lit(True)), F.col("__k").eqNullSafe(F.col("k")) & (F.col("__i") == F.col("i")), "left")
-    return joined.withColumn("__test", F.coalesce("__test", F.lit(False))).drop("__k", "__i", "k", "i"), small
+    joined = ranked.join(tests.withColumn("__test", F.lit(True)), F.col("__k").eqNullSafe(F.col("__tk")) & (F.col("__i") == F.col("__ti")), "left")
+    return joined.withColumn("__test", F.coalesce("__test", F.lit(False))).drop("__k", "__i", "__tk", "__ti"), small
 
 
 def hash_split(df: DataFrame, key: Column, fraction: float = 0.25, seed: int = 42) -> DataFrame:

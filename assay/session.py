@@ -164,7 +164,10 @@ class Session:
     @tool()
     def register_frame(self, df: Any, name: str) -> dict[str, Any]:
         """A pandas or Spark frame as a dataset; it cannot be replayed from a file."""
-        frame = df if isinstance(df, DataFrame) else self.spark.createDataFrame(df)
+        frame = df
+        if not isinstance(df, DataFrame):  # in pandas a missing number is NaN
+            frame = self.spark.createDataFrame(df)
+            frame = frame.select(*[F.when(~F.isnan(col(c)), col(c)).alias(c) if t in ("double", "float") else col(c) for c, t in frame.dtypes])
         made = self._publish(self._named(name), frame, format="dataframe")
         self._journal("frame", name=name, rows=made.rows, digest=made.digest)
         return {"name": name, "rows": made.rows, "columns": made.columns}
@@ -218,7 +221,8 @@ class Session:
         else:
             raise ToolError("invalid_inputs", f"unknown method {method!r}")
         n = found.count()
-        return {"method": method, "n_outliers": n, "rows": [r.asDict(True) for r in outliers.top(found, limit).collect()], "truncated": n > limit} | more
+        used = more.get("cutoff", threshold if threshold is not None else {"iqr": 1.5, "zscore": 3.0}.get(method))
+        return {"method": method, "n_outliers": n, "threshold_used": used, "outliers": [r.asDict(True) for r in outliers.top(found, limit).collect()], "truncated": n > limit} | more
 
     # --- queries ---
 
@@ -500,7 +504,8 @@ def _pairwise(df: DataFrame, group: str, metric: str, labels: list[str] | None,
     normal = _groups.shapiro_by_group(pairs, chosen)
     spread = _groups.levene(pairs)["p_value"]
     broken = any(p is not None and p < 0.05 for p in normal.values()) or (not math.isnan(spread) and spread < 0.05)
+    requested = method
     if method == "auto":
         method = "dunn" if broken else "tukey"
     found = posthoc.tukey(pairs, chosen, alpha) if method == "tukey" else posthoc.dunn(pairs, chosen, p_adjust or "holm", alpha)
-    return found | {"alpha": alpha, "groups": [stats[g] for g in chosen], "assumption_checks": {"normality": normal, "equal_variances_p": spread, "violated": broken}}
+    return found | {"method_requested": requested, "estimate_name": "mean_diff" if method == "tukey" else "mean_rank_diff", "n_comparisons": len(found["comparisons"]), "alpha": alpha, "groups": [stats[g] for g in chosen], "assumption_checks": {"normality": normal, "equal_variances_p": spread, "violated": broken}}
