@@ -192,22 +192,28 @@ def _hashes() -> WordHashes:
     return _word_hashes[0]
 
 
+def _spotter(block):
+    """A pandas UDF from text to its words, spans (flat) and items in one block."""
+
+    @F.pandas_udf("n long, spans array<bigint>, items array<string>")
+    def spot(column: pd.Series) -> pd.DataFrame:
+        hashes, rows = _hashes(), []
+        for text in column:
+            words = words_of(text if isinstance(text, str) else None)
+            spans, items = find_spans(words, _hashed(words, hashes), *block.value)
+            rows.append((len(words), [x for s in spans for x in s], sorted(items)))
+        return pd.DataFrame(rows, columns=["n", "spans", "items"])
+
+    return spot
+
+
 def _by_blocks(docs: DataFrame, blocks: list, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """Each block finds its spans on its own; they are merged by document (id and text, as a digest)."""
     key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.coalesce(F.col(text_col).cast("string"), F.lit("\x01"))), 256)
     keyed = docs.withColumn("__key", key)
     found = None
     for block in blocks:
-
-        @F.pandas_udf("n long, spans array<bigint>, items array<string>")
-        def spot(column: pd.Series, block=block) -> pd.DataFrame:
-            hashes, rows = _hashes(), []
-            for text in column:
-                words = words_of(text if isinstance(text, str) else None)
-                spans, items = find_spans(words, _hashed(words, hashes), *block.value)
-                rows.append((len(words), [x for s in spans for x in s], sorted(items)))
-            return pd.DataFrame(rows, columns=["n", "spans", "items"])
-
+        spot = _spotter(block)
         part = keyed.dropDuplicates(["__key"]).select("__key", spot(F.col(text_col).cast("string")).alias("s")).select("__key", "s.*")
         part = materialise(part, "spans")  # one broadcast at a time is in use
         found = part if found is None else found.union(part)

@@ -96,12 +96,13 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def parsing_table(following: list[dict[int, int]], size: int) -> np.ndarray:
-    """(states * size) of 2 * next state + whether a phrase ends before this letter."""
-    start = np.zeros(size, np.int64)
+    """(states + 1, size), flat: 2 * next state + whether a phrase ends before this letter."""
+    alone = len(following)  # the state after a letter that the training text lacks: a phrase of its own
+    start = np.full(size, alone, np.int64)
     for c, t in following[0].items():
         start[c] = t
-    table = np.tile(2 * start + 1, (len(following), 1))
-    table[0] = 2 * start + (start == 0)  # a letter that no phrase can start with is a phrase of its own
+    table = np.tile(2 * start + 1, (alone + 1, 1))
+    table[0] = 2 * start
     for s, moves in enumerate(following):
         for c, t in moves.items():
             table[s, c] = 2 * t

@@ -111,9 +111,9 @@ def host_odds(flagged: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", columns: list[str] | None = None) -> DataFrame:
     """The wanted columns of ``docs`` (all by default) with __m (measures), __base_failed and __kept."""
     spark = docs.sparkSession
-    wanted = docs.columns if columns is None else columns
+    wanted = ["`" + c.replace("`", "``") + "`" for c in (docs.columns if columns is None else columns)]
     base, strong, weak = _rules(F.col("__m"))
-    flagged = measured(docs.select(*dict.fromkeys([*wanted, text_col, host_col])), text_col).select(
+    flagged = measured(docs.select(*dict.fromkeys([*wanted, f"`{text_col}`", f"`{host_col}`"])), text_col).select(
         *wanted,
         "__m",
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"),
@@ -142,7 +142,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return judged(docs, text_col, host_col).where("__kept").select(*docs.columns)
+    return judged(docs, text_col, host_col).where("__kept").drop("__m", "__base_failed", "__odds", "__kept")
 
 
 #: The query as SQL over ``documents``.
