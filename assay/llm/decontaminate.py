@@ -233,3 +233,26 @@ def _by_blocks(docs: DataFrame, blocks: list, id_col: str, text_col: str, carry:
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     return contamination(docs, items, carry=True, **options).where("NOT __contaminated").drop("__contaminated")
+
+
+#: The query as SQL over ``documents`` and ``benchmark`` (document ids are distinct there).
+ORACLE_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS l, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)
+), grams AS (
+  SELECT doc_id, l, i, array_to_string(w[i : i + l - 1], ' ') AS g FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dw, (SELECT DISTINCT l FROM windows) WHERE len(w) >= l)
+), hits AS (
+  SELECT doc_id, grams.l, i, item_id FROM grams JOIN windows ON grams.g = windows.g AND grams.l = windows.l
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM (SELECT DISTINCT doc_id, l, i FROM hits)) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256,
+  coalesce(p.n, 0) > 0 AND 20 * coalesce(p.n, 0) >= len(w) AS contaminated
+FROM dw d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+"""

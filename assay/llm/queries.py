@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op5_minhash_near_dedup": near_dedup.ORACLE_SQL, "op7_benchmark_decontamination": decontaminate.ORACLE_SQL}
