@@ -180,10 +180,19 @@ def design_of(formula: str, df: DataFrame) -> Design:
                 if len(rows) > MOST_LEVELS:
                     raise FormulaError(f"{name!r} has more than {MOST_LEVELS} levels")
                 design.levels[factor] = [str(v) for v in sorted(r["v"] for r in rows)]
+    design.terms = _ordered(terms, design.levels)
     design.names = [n for n, _ in columns(design, df)]
     return design
 
 
+def _ordered(terms: list[list[str]], levels: dict[str, list[str]]) -> list[list[str]]:
+    """Categorical terms first, then terms by the numeric factors they share, as these first come; in each, fewer factors first."""
+    buckets: dict[frozenset[str], list[list[str]]] = {frozenset(): []}
+    for term in terms:
+        buckets.setdefault(frozenset(f for f in term if f not in levels), []).append(term)
+    return [t for own in buckets.values() for t in sorted(own, key=len)]
+
+
 def columns(design: Design, df: DataFrame) -> list[tuple[str, Column]]:
     """(name, expression) of each design column. Treatment coding; without an intercept the first categorical term has all levels."""
     out: list[tuple[str, Column]] = [("Intercept", F.lit(1.0))] if design.intercept else []

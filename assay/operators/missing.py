@@ -78,7 +78,7 @@ def structural(df: DataFrame, columns: list[str]) -> dict[str, str]:
 
 
 def mcar_moments(df: DataFrame, columns: list[str]) -> tuple[list[dict[str, Any]], np.ndarray, np.ndarray]:
-    """Per null pattern its size and means; available-case means and covariances. Patterns of fewer than two rows are left out."""
+    """Per null pattern its size and its sums and products of centred values; the centres; the pairs of columns."""
     mask = F.concat(*[F.when(col(c).isNull(), "0").otherwise("1") for c in columns])
     x = [as_double(col(c)) for c in columns]
     k = len(columns)
@@ -86,7 +86,7 @@ def mcar_moments(df: DataFrame, columns: list[str]) -> tuple[list[dict[str, Any]
     shift = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
     centred = [c - F.lit(float(shift[f"m{i}"] or 0.0)) for i, c in enumerate(x)]
     found = df.groupBy(mask.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(centred)], *[F.sum(centred[i] * centred[j]).alias(f"p{i}_{j}") for i, j in pairs]).collect()
-    rows = [r.asDict() for r in found if r["n"] >= 2 and "1" in r["pattern"]]
+    rows = [r.asDict() for r in found if "1" in r["pattern"]]
     return rows, np.array([float(shift[f"m{i}"] or 0.0) for i in range(k)]), np.array(pairs)
 
 
@@ -97,7 +97,7 @@ def little_mcar(df: DataFrame, columns: list[str] | None = None) -> dict[str, An
         return {"skipped": "fewer than two numeric columns"}
     rows, _, pairs = mcar_moments(df, columns)
     k = len(columns)
-    if len(rows) < 2:
+    if sum(r["n"] >= 2 for r in rows) < 2:
         return {"skipped": "fewer than two missingness patterns"}
     seen = np.array([[ch == "1" for ch in r["pattern"]] for r in rows])
     n = np.array([r["n"] for r in rows], float)
@@ -113,8 +113,11 @@ def little_mcar(df: DataFrame, columns: list[str] | None = None) -> dict[str, An
         product = sum(r[f"p{i}_{j}"] for r, b in zip(rows, both, strict=True) if b)
         centred = product - mean[i] * sums[both, j].sum() - mean[j] * sums[both, i].sum() + m * mean[i] * mean[j]
         cov[i, j] = cov[j, i] = centred / (m - 1) if m > 1 else 0.0
-    d2, used, pinv = 0.0, 0, False
+    d2, used, pinv, tested = 0.0, 0, False, 0
     for r in range(len(rows)):
+        if n[r] < 2:  # counts for the means, not as a pattern
+            continue
+        tested += 1
         own = np.flatnonzero(seen[r])
         delta = sums[r, own] / n[r] - mean[own]
         block = cov[np.ix_(own, own)]
@@ -127,7 +130,7 @@ def little_mcar(df: DataFrame, columns: list[str] | None = None) -> dict[str, An
     df_ = used - k
     if df_ <= 0:
         return {"skipped": "no degrees of freedom"}
-    return {"statistic": d2, "df": df_, "p_value": D.chi2_sf(d2, df_), "n_patterns": len(rows), "columns": columns, "used_pseudo_inverse": pinv}
+    return {"statistic": float(d2), "df": df_, "p_value": D.chi2_sf(d2, df_), "n_patterns": tested, "columns": columns, "used_pseudo_inverse": pinv}
 
 
 def analyse(df: DataFrame, columns: list[str], pattern_top_k: int, threshold: float, run_mcar: bool) -> dict[str, Any]:

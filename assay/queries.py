@@ -423,6 +423,7 @@ def rows_complete(spark: SparkSession, d: str) -> DataFrame:
 @query(GAPS + ", p AS (SELECT (l_tax IS NOT NULL)::INT::VARCHAR || (l_discount IS NOT NULL)::INT::VARCHAR || (l_quantity IS NOT NULL)::INT::VARCHAR AS pattern, * FROM g) SELECT pattern, count(*) AS n, round(avg(l_tax), 8) AS m0, round(avg(l_discount), 8) AS m1, round(avg(l_quantity), 6) AS m2 FROM p GROUP BY 1 HAVING count(*) >= 2 AND contains(pattern, '1')")
 def mcar_pattern_means(spark: SparkSession, d: str) -> DataFrame:
     found, mean, _ = missing.mcar_moments(gaps(spark, d), ["l_tax", "l_discount", "l_quantity"])
+    found = [x for x in found if x["n"] >= 2]
     own = [{"pattern": x["pattern"], "n": x["n"]} | {f"m{i}": None if x[f"s{i}"] is None else x[f"s{i}"] / x["n"] + mean[i] for i in range(3)} for x in found]
     return rounded(rows(spark, own, "pattern string, n long, m0 double, m1 double, m2 double"), 8, m2=6)
 

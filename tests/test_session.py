@@ -136,10 +136,10 @@ def test_ols_against_numpy_and_cross_validation(s):
     y = 2 + 0.5 * x + (g == "b") - 2 * (g == "c") + 0.3 * dice.standard_normal(120)
     load(s, "d", {"y": y, "x": x, "g": g})
     m = s.fit_model("d", "y ~ x * C(g)", model_name="m")
-    design = np.column_stack([np.ones(120), x, g == "b", g == "c", x * (g == "b"), x * (g == "c")]).astype(float)
+    design = np.column_stack([np.ones(120), g == "b", g == "c", x, x * (g == "b"), x * (g == "c")]).astype(float)
     beta, rss, _, _ = np.linalg.lstsq(design, y, rcond=None)
     assert [c["estimate"] for c in m["coefficients"]] == pytest.approx(beta.tolist())
-    assert [c["name"] for c in m["coefficients"]][2:4] == ["C(g)[T.b]", "C(g)[T.c]"]
+    assert [c["name"] for c in m["coefficients"]][1:4] == ["C(g)[T.b]", "C(g)[T.c]", "x"]
     assert m["fit"]["r_squared"] == pytest.approx(1 - rss[0] / ((y - y.mean()) ** 2).sum())
     inverse = np.linalg.inv(design.T @ design)
     e, h = y - design @ beta, np.einsum("ij,jk,ik->i", design, inverse, design)
