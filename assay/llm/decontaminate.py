@@ -26,32 +26,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
-from .near_dedup import _M2, WordHashes, _mixed
+from .words import gram_hashes, word_hashes
 
 WINDOW = 13
 GRAM = 3
 #: Windows of one block of items: what a worker holds, and the bound of a broadcast.
 BLOCK_WINDOWS = 400_000
 
+#: Bytes of texts hashed at once.
+PART_BYTES = 1 << 19
+
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+_BETWEEN = np.arange(256) == 32
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
-def _hashed(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def _grams(words: list[bytes], n: int) -> np.ndarray:
+    return gram_hashes(word_hashes(b" ".join(words), _BETWEEN)[2], n)
 
 
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = _mixed(out * _M2 + h[k : k + len(out)])
-    return out
+class Words:
+    """The words of some texts in one buffer: bounds and hashes of all words, and where each text's begin."""
+
+    def __init__(self, texts: list[str | None]):
+        own = [(t or "").encode("utf-8", "surrogatepass").translate(_KEEP) for t in texts]
+        self.buffer = b" ".join(own)
+        self.starts, self.ends, self.hashes = word_hashes(self.buffer, _BETWEEN)
+        ends = np.cumsum([len(o) + 1 for o in own]) - 1
+        self.upto = np.concatenate([[0], np.searchsorted(self.starts, ends)]).astype(np.int64)
+
+    def grams(self, n: int) -> np.ndarray:
+        return gram_hashes(self.hashes, n)
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        """The text that each word position belongs to."""
+        return np.searchsorted(self.upto, at, "right") - 1
+
+    def word(self, i: int) -> bytes:
+        return self.buffer[self.starts[i] : self.ends[i]]
+
+
+def parted(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, a bounded number of bytes at a time (a longer text by itself)."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 class Windows:
@@ -65,8 +93,7 @@ class Windows:
                 owners.setdefault(tuple(words[at : at + window]), set()).add("" if item_id is None else str(item_id))
         self.words = sorted(owners)
         self.owners = [sorted(owners[w]) for w in self.words]
-        hashes = WordHashes()
-        self.tokens = [_grams(_hashed(list(w), hashes), min(GRAM, len(w))) for w in self.words]
+        self.tokens = [_grams(list(w), min(GRAM, len(w))) for w in self.words]
         self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
 
     def token_list(self) -> np.ndarray:
@@ -99,13 +126,14 @@ def _token_counts(texts: DataFrame, listed: np.ndarray, sizes: list[int]) -> dic
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, grams = shared.value
-        hashes, counts = WordHashes(), np.zeros(len(tokens), np.int64)
+        counts = np.zeros(len(tokens), np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                h = _hashed(words_of(text if isinstance(text, str) else None), hashes)
+            for part in parted([t if isinstance(t, str) else None for t in batch["text"]]):
+                words = Words(part)
                 for n in grams:
-                    _, at = _present(_grams(h, n), tokens)
-                    np.add.at(counts, at, 1)
+                    hit, at = _present(words.grams(n), tokens)
+                    inside = words.text_of(hit) == words.text_of(hit + n - 1)
+                    counts += np.bincount(at[inside], minlength=len(tokens))
         some = np.flatnonzero(counts)
         yield pd.DataFrame({"token": tokens[some].view(np.int64), "n": counts[some]})
 
@@ -113,18 +141,21 @@ def _token_counts(texts: DataFrame, listed: np.ndarray, sizes: list[int]) -> dic
     return {r["token"] % 2**64: r["n"] for r in summed.collect()}  # at most the tokens of one block of items
 
 
-def find_spans(words: list[bytes], h: np.ndarray, windows: Windows, prefix: np.ndarray, places: list[list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], set[str]]:
-    """All occurrences of windows: word spans, and the ids of the items they belong to."""
-    spans, items = [], set()
+def find_spans(words: Words, windows: Windows, prefix: np.ndarray, places: list[list[tuple[int, int]]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """Per text all occurrences of windows: word spans in the buffer, and the ids of the items they belong to."""
+    out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in range(len(words.upto) - 1)]
     for n in windows.sizes:
-        positions, at = _present(_grams(h, n), prefix)
-        for p, k in zip(positions.tolist(), at.tolist(), strict=True):
+        positions, at = _present(words.grams(n), prefix)
+        owners = words.text_of(positions)
+        for p, k, t in zip(positions.tolist(), at.tolist(), owners.tolist(), strict=True):
+            low, high = words.upto[t], words.upto[t + 1]
             for w, place in places[k]:
                 own, start = windows.words[w], p - place
-                if start >= 0 and start + len(own) <= len(words) and tuple(words[start : start + len(own)]) == own:
-                    spans.append((start, start + len(own)))
-                    items.update(windows.owners[w])
-    return spans, items
+                # position and length bounds, then word by word
+                if start >= low and start + len(own) <= high and all(words.word(start + j) == x for j, x in enumerate(own)):
+                    out[t][0].append((start, start + len(own)))
+                    out[t][1].update(windows.owners[w])
+    return out
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -168,11 +199,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
         @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
         def judge(column: pd.Series) -> pd.DataFrame:
-            hashes, rows = _hashes(), []
-            for text in column:
-                words = words_of(text if isinstance(text, str) else None)
-                spans, found = find_spans(words, _hashed(words, hashes), *only.value) if only and words else ([], set())
-                rows.append(_verdict(len(words), spans, found))
+            rows = []
+            for part in parted([t if isinstance(t, str) else None for t in column]):
+                words = Words(part)
+                found = find_spans(words, *only.value) if only else [([], set())] * len(part)
+                rows += [_verdict(int(n), *f) for n, f in zip(np.diff(words.upto), found, strict=True)]
             return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
         if carry:
@@ -182,26 +213,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return _by_blocks(docs, blocks, id_col, text_col, carry)
 
 
-_word_hashes: list[WordHashes] = []
-
-
-def _hashes() -> WordHashes:
-    """One cache of word hashes per worker."""
-    if not _word_hashes:
-        _word_hashes.append(WordHashes())
-    return _word_hashes[0]
-
-
 def _spotter(block):
     """A pandas UDF from text to its words, spans (flat) and items in one block."""
 
     @F.pandas_udf("n long, spans array<bigint>, items array<string>")
     def spot(column: pd.Series) -> pd.DataFrame:
-        hashes, rows = _hashes(), []
-        for text in column:
-            words = words_of(text if isinstance(text, str) else None)
-            spans, items = find_spans(words, _hashed(words, hashes), *block.value)
-            rows.append((len(words), [x for s in spans for x in s], sorted(items)))
+        rows = []
+        for part in parted([t if isinstance(t, str) else None for t in column]):
+            words = Words(part)
+            found = find_spans(words, *block.value)
+            rows += [(int(n), [x - int(at) for s in spans for x in s], sorted(items)) for n, at, (spans, items) in zip(np.diff(words.upto), words.upto, found, strict=False)]
         return pd.DataFrame(rows, columns=["n", "spans", "items"])
 
     return spot

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .decontaminate import _grams
 from .near_dedup import WordHashes
+from .words import gram_hashes as _grams
 
 GRAM, WINDOW, BAND = 3, 2, 8
 #: Least share of a template's words that must match.
