@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,6 +145,33 @@ def expression(text: str, df: DataFrame, design: Design | None, seen: list[str])
     return _node(tree, df, design, seen)
 
 
+def _contrast(factor: str, levels: list[str]) -> tuple[list[str], list[list[float]]]:
+    """(suffixes, a row of codes per level) of a categorical factor: Treatment unless C(x, Kind) names another coding."""
+    wrapped = _categorical(factor)
+    parts = [p for _, p in _split(wrapped, ",")] if wrapped is not None else [factor]
+    m = re.fullmatch(r"(Treatment|Sum|Helmert|Diff|Poly)\s*(?:\((.*)\))?", parts[1] if len(parts) > 1 else "Treatment", re.S)
+    if not m or len(parts) > 2:
+        raise FormulaError(f"unknown coding in {factor!r}")
+    kind, argument, k = m[1], (m[2] or "").split("=")[-1].strip().strip("\"'"), len(levels)
+    if kind == "Treatment":
+        if argument and argument not in levels:
+            raise FormulaError(f"{argument!r} is no level of {factor!r}")
+        base = levels.index(argument) if argument else 0
+        rest = [i for i in range(k) if i != base]
+        return [f"[T.{levels[i]}]" for i in rest], [[float(i == j) for j in rest] for i in range(k)]
+    if kind == "Sum":
+        return [f"[S.{v}]" for v in levels[:-1]], [[-1.0 if i == k - 1 else float(i == j) for j in range(k - 1)] for i in range(k)]
+    if kind == "Helmert":
+        return [f"[H.{v}]" for v in levels[1:]], [[float(j + 1) if i == j + 1 else -1.0 if i <= j else 0.0 for j in range(k - 1)] for i in range(k)]
+    if kind == "Diff":
+        return [f"[D.{v}]" for v in levels[:-1]], [[(j + 1) / k if i > j else (j + 1 - k) / k for j in range(k - 1)] for i in range(k)]
+    powers = np.vander(np.arange(k) - (k - 1) / 2, k, increasing=True)
+    q, r = np.linalg.qr(powers)
+    codes = (q * np.sign(np.diag(r)))[:, 1:]
+    names = [".Linear", ".Quadratic", ".Cubic"] + [f"^{n}" for n in range(4, k)]
+    return names[: k - 1], codes.tolist()
+
+
 def _source(text: str, df: DataFrame) -> str:
     """The column that a factor names plainly or by Q("...")."""
     m = re.fullmatch(r"""Q\(\s*(["'])(.*)\1\s*\)""", text.strip())
@@ -193,6 +221,14 @@ def _ordered(terms: list[list[str]], levels: dict[str, list[str]]) -> list[list[
     return [t for own in buckets.values() for t in sorted(own, key=len)]
 
 
+def _coded(text: Column, levels: list[str], codes: list[float]) -> Column:
+    """A code per level, null for values that are no level."""
+    out = F.lit(None).cast("double")
+    for level, code in zip(levels, codes, strict=True):
+        out = F.when(text == F.lit(level), F.lit(float(code))).otherwise(out)
+    return out
+
+
 def columns(design: Design, df: DataFrame) -> list[tuple[str, Column]]:
     """(name, expression) of each design column. Treatment coding; without an intercept the first categorical term has all levels."""
     out: list[tuple[str, Column]] = [("Intercept", F.lit(1.0))] if design.intercept else []
@@ -212,7 +248,11 @@ def columns(design: Design, df: DataFrame) -> list[tuple[str, Column]]:
                 text = col(name).cast("string")
                 whole = full and len(term) == 1
                 known = F.when(text.isin(levels), 1.0)
-                own = [(f"{factor}[{v}]" if whole else f"{factor}[T.{v}]", F.when(text == F.lit(v), 1.0).otherwise(known * 0.0)) for v in (levels if whole else levels[1:])]
+                if whole:
+                    own = [(f"{factor}[{v}]", F.when(text == F.lit(v), 1.0).otherwise(known * 0.0)) for v in levels]
+                else:
+                    suffixes, codes = _contrast(factor, levels)
+                    own = [(factor + name, _coded(text, levels, [row[j] for row in codes])) for j, name in enumerate(suffixes)]
                 full = full and not whole
             made = [(f"{a}:{b}" if a else b, x * y if a else y) for a, x in made for b, y in own]
         out += made

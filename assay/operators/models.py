@@ -405,6 +405,16 @@ def warnings_of(model: Fitted, found: dict[str, Any] | None) -> list[dict[str, s
     return out
 
 
+def outcome_notes(model: Fitted, df: DataFrame) -> list[dict[str, str]]:
+    """What a reader should know of the outcome's type."""
+    dtype = df.schema[model.design.outcome_source].dataType if model.design.outcome_source in df.columns else None
+    if model.kind == "ols" and isinstance(dtype, T.BooleanType):
+        return [{"type": "boolean_outcome_lpm", "message": "a boolean outcome makes this a linear probability model"}]
+    if model.kind == "negbin" and isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return [{"type": "coerced_float_to_int", "message": "whole floating-point outcomes were taken as counts"}]
+    return []
+
+
 def interpretation(model: Fitted) -> str:
     rows = [c for c in model.coefficients() if c["name"] != "Intercept" and c["p_value"] == c["p_value"]]
     if not rows:

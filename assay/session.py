@@ -375,7 +375,7 @@ class Session:
         label = model_name or f"model_{len(self.models) + 1}"
         self.models[label] = Model(label, name, d.revision, fitted)
         self._journal("fit", name=label, dataset=name, dataset_revision=d.revision, formula=formula, kind=kind, robust=robust, params=fitted.params, std_errors=fitted.se)
-        return {"model_name": label, "kind": kind, "formula": formula, "coefficients": fitted.coefficients(), "fit": models.fit_block(fitted), "diagnostics": found, "warnings": models.warnings_of(fitted, found), "interpretation": models.interpretation(fitted), "n_dropped": d.rows - fitted.n_obs}
+        return {"model_name": label, "kind": kind, "formula": formula, "coefficients": fitted.coefficients(), "fit": models.fit_block(fitted), "diagnostics": found, "warnings": models.warnings_of(fitted, found) + models.outcome_notes(fitted, d.df), "interpretation": models.interpretation(fitted), "n_dropped": d.rows - fitted.n_obs}
 
     @tool(record=False)
     def list_models(self) -> dict[str, Any]:
@@ -418,7 +418,7 @@ class Session:
         absent = [c for c in m.fitted.design.sources if c not in d.df.columns]
         if absent:
             raise ToolError("prediction_failed", f"missing {', '.join(absent)}")
-        return {"model_name": model_name, "kind": m.fitted.kind} | scoring.evaluate(m.fitted, d.df, threshold, n_calibration_bins)
+        return {"model_name": model_name, "kind": m.fitted.kind, "notes": models.outcome_notes(m.fitted, d.df)} | scoring.evaluate(m.fitted, d.df, threshold, n_calibration_bins)
 
     @tool()
     def cross_validate(self, name: str, formula: str, kind: str = "ols", robust: bool = False, k: int = 5, seed: int = 42, threshold: float = 0.5) -> dict[str, Any]:

@@ -273,3 +273,42 @@ def test_plots_are_bounded_and_png(s):
         assert len(out["data"].get("points", [])) <= 2000
     assert s.plot("d", "line", x="x")["error"]["type"] == "missing_required_param"
     assert s.plot("d", "pie")["error"]["type"] == "invalid_kind"
+
+
+def test_codings(s):
+    dice = np.random.default_rng(3)
+    g = np.array(list("abc") * 20)
+    y = dice.standard_normal(60) + (g == "b") * 2 - (g == "c")
+    load(s, "d", {"y": y, "g": g, "t": y > 0})
+    mean = {v: y[g == v].mean() for v in "abc"}
+    grand = np.mean(list(mean.values()))
+    fit = lambda f: {c["name"]: c["estimate"] for c in s.fit_model("d", f)["coefficients"]}
+    assert fit("y ~ C(g, Treatment('b'))")["C(g, Treatment('b'))[T.a]"] == pytest.approx(mean["a"] - mean["b"])
+    found = fit("y ~ C(g, Sum)")
+    assert found["Intercept"] == pytest.approx(grand) and found["C(g, Sum)[S.a]"] == pytest.approx(mean["a"] - grand)
+    assert fit("y ~ C(g, Diff)")["C(g, Diff)[D.a]"] == pytest.approx(mean["b"] - mean["a"])
+    assert fit("y ~ C(g, Helmert)")["C(g, Helmert)[H.b]"] == pytest.approx((mean["b"] - mean["a"]) / 2)
+    assert fit("y ~ C(g, Poly)")["C(g, Poly).Linear"] == pytest.approx((mean["c"] - mean["a"]) / np.sqrt(2))
+    assert fit("y ~ 0 + C(g)") == pytest.approx({f"C(g)[{v}]": m for v, m in mean.items()})
+    assert s.fit_model("d", "y ~ C(g, Nope)")["error"]["type"] == "formula_error"
+    assert s.fit_model("d", "t ~ C(g)")["warnings"][-1]["type"] == "boolean_outcome_lpm"
+
+
+def test_workbook(s, tmp_path):
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space}><sheets><sheet name="one"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>id</t></si><si><t>name</t></si><si><t>x</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2"><v>1</v></c><c r="B2" t="s"><v>2</v></c></row><row><c r="A3"><v>2</v></c></row></sheetData></worksheet>')
+    out = s.load_dataset(str(tmp_path / "b.xlsx"))
+    assert out["columns"] == [{"name": "id", "dtype": "bigint"}, {"name": "name", "dtype": "string"}] and s.query("select * from b order by id")["rows"] == [{"id": 1, "name": "x"}, {"id": 2, "name": None}]
+
+
+def test_stream_window(s, spark, tmp_path):
+    from assay.streaming.windows import take_available
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    assert take_available(stream, str(tmp_path / "out"), str(tmp_path / "mark")).count() == 10
