@@ -42,7 +42,7 @@ COST_IMITATE, COST_FILLER, COST_COLLAPSE, COST_DOUBLE = 0.7, 1.5, 0.2, 4.0
 MARKER_SHARE, MARKER_LEAST = 0.004, 4
 #: A toxic document counts as explained once this many markers stand in it.
 COVER = 3
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 
 ALPHABET = 64
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?=[.,;:!?]*(?!\S))")
@@ -251,7 +251,7 @@ def learn(texts: list[str], labels: list[int], restorer: Restorer) -> Markers:
             clean.update(found)
     n_clean = max(1, len(shown) - toxic)
     need = np.full(toxic, COVER)
-    pure = {f: np.asarray(h) for f, h in holders.items() if len(h) >= MARKER_LEAST and clean[f] / n_clean < 0.002 and (clean[f] + 0.5) / (len(h) + 1) < 0.1}
+    pure = {f: np.asarray(h) for f, h in holders.items() if len(h) >= MARKER_LEAST and clean[f] / n_clean < 0.002 and (clean[f] + 0.5) / (len(h) + 1) <= 0.1}
     markers: set[str] = set()
     least = max(MARKER_LEAST, MARKER_SHARE * toxic)
     # of beginnings that stand in the same documents the longest is as good and says most; words before beginnings
