@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import RID, as_double, col, exact_quantiles, is_numeric, is_string, is_temporal, user_columns
 
+#: Rows up to which one aggregate may hold a column's values.
+SMALL_ROWS = 200_000
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
 
@@ -26,11 +28,17 @@ def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long.groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("value").alias("n_distinct"))
 
 
-def numeric_stats(df: DataFrame, name: str) -> DataFrame:
-    """One row: min, max, mean, median, stddev, p25, p75, p99, zeros, negatives, n."""
-    c = as_double(col(name))
-    q = F.percentile(c, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.99)]))
-    one = df.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("stddev"), q.alias("q"), F.count_if(c == 0).alias("zeros"), F.count_if(c < 0).alias("negatives"))
+def numeric_stats(df: DataFrame, name: str, most: int = SMALL_ROWS) -> DataFrame:
+    """One row: min, max, mean, median, stddev, p25, p75, p99, zeros, negatives, n.
+
+    Up to ``most`` rows one aggregate answers all; beyond, quantiles come from bracketed selection, which gathers no value list.
+    """
+    c, wanted = as_double(col(name)), [0.25, 0.5, 0.75, 0.99]
+    large = df.count() > most
+    q = F.array(*[F.lit(v).cast("double") for v in exact_quantiles(df, name, wanted, most)]) if large else F.percentile(c, F.array(*[F.lit(p) for p in wanted]))
+    one = df.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("stddev"), *([] if large else [q.alias("q")]), F.count_if(c == 0).alias("zeros"), F.count_if(c < 0).alias("negatives"))
+    if large:
+        one = one.withColumn("q", q)
     return one.select("n", "min", "max", "mean", "stddev", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), F.col("q")[3].alias("p99"), "zeros", "negatives")
 
 
@@ -94,19 +102,25 @@ def temporal_buckets(df: DataFrame, name: str) -> DataFrame:
     return df.where(c.isNotNull()).select(pairs.alias("p")).groupBy("p.unit", "p.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def outlier_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+def outlier_counts(df: DataFrame, columns: list[str], most: int = SMALL_ROWS) -> DataFrame:
     """Per column: q1, q3, n outside the 1.5 IQR band, n beyond three standard deviations."""
+    large = df.count() > most
     aggs = []
     for i, name in enumerate(columns):
         c = as_double(col(name))
-        aggs += [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
+        if not large:
+            aggs.append(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"))
+        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
     stats = df.agg(*aggs)
+    if large:
+        for i, name in enumerate(columns):
+            stats = stats.withColumn(f"q{i}", F.array(*[F.lit(v).cast("double") for v in exact_quantiles(df, name, [0.25, 0.75], most)]))
     tests = []
     for i, name in enumerate(columns):
         c, q = as_double(col(name)), F.col(f"q{i}")
         iqr = q[1] - q[0]
         tests.append(F.struct(F.lit(name).alias("column"), q[0].alias("q1"), q[1].alias("q3"), ((c < q[0] - 1.5 * iqr) | (c > q[1] + 1.5 * iqr)).alias("iqr"), ((F.col(f"s{i}") > 0) & (F.abs(c - F.col(f"m{i}")) > 3 * F.col(f"s{i}"))).alias("z")))
-    long = df.crossJoin(F.broadcast(stats)).select(F.explode(F.array(*tests)).alias("t")).select("t.*")
+    long = df.crossJoin(F.broadcast(stats)).select(F.explode(F.array(*tests)).alias("t")).select("t.*")  # stats is one row
     return long.groupBy("column").agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.count_if("iqr").alias("n_iqr"), F.count_if("z").alias("n_z"))
 
 

@@ -73,3 +73,11 @@ def test_cumulative_in_buckets(spark, monkeypatch):
     for v in sorted(rows):
         total += rows[v]["n"]
         assert rows[v]["c"] == total
+
+
+def test_outlier_counts_of_large_tables(spark, sf):
+    from assay.operators import profile
+
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_extendedprice", "l_tax")
+    both = [sorted(map(tuple, profile.outlier_counts(df, df.columns, most).collect())) for most in (10, 10**6)]
+    assert both[0] == [pytest.approx(r) for r in both[1]]
