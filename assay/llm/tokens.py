@@ -17,7 +17,7 @@ from array import array
 
 END_ID = 2
 #: Pieces in each of the two generations that a worker keeps, and the longest piece worth keeping.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 CACHE_CHARS = 48
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
