@@ -132,9 +132,9 @@ class Session:
 
     def _publish(self, name: str, df: DataFrame, **more: Any) -> Dataset:
         """Stage the snapshot fully, then swap it in: a failure before this changes nothing."""
-        stored = readers.snapshot(df, name)
+        stored = readers.snapshot(df, name, self.spark)
         made = Dataset(name, stored, stored.count(), digest=provenance.table_digest(stored), revision=self.revision + 1, **more)
-        _view(self.spark, stored).createOrReplaceTempView(name)
+        stored.drop(RID).createOrReplaceTempView(name)  # users do not see the ordinal
         self.revision += 1
         self.datasets[name] = made
         return made
@@ -473,11 +473,6 @@ class Session:
 _groups = groups
 
 
-def _view(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """What users see of a dataset: no ordinal."""
-    return df.drop(RID)
-
-
 def _compare(df: DataFrame, group: str, metric: str, labels: list[str] | None) -> dict[str, Any]:
     return _groups.compare(df, group, metric, labels, is_numeric(df, metric))
 

@@ -167,12 +167,13 @@ def store_root(spark: SparkSession) -> str:
     return named.rstrip("/") if named else "file://" + os.path.join(tempfile.gettempdir(), "assay-store")
 
 
-def snapshot(df: DataFrame, label: str) -> DataFrame:
+def snapshot(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` once and read it back with a dense ordinal in RID: the row order in which it was written.
 
-    The ordinal is partition start + place in the partition, so nothing moves to one task.
+    The ordinal is partition start + place in the partition, so nothing moves to one task. ``spark`` is the
+    session that the result belongs to, where it is not the frame's own.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     path = f"{store_root(spark)}/{re.sub(r'[^A-Za-z0-9_]', '_', label)}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -312,3 +312,20 @@ def test_stream_window(s, spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
     assert take_available(stream, str(tmp_path / "out"), str(tmp_path / "mark")).count() == 10
+
+
+def test_empty_tables_and_odd_names(s, spark):
+    empty = spark.createDataFrame([], "x double, g string, t timestamp, b boolean")  # of another session
+    assert s.register_frame(empty, "e")["ok"] and s.query("select * from e")["rows"] == []
+    assert s.profile_dataset("e")["row_count"] == 0 and s.analyze_missingness("e")["ok"]
+    assert all(s.describe_column("e", c)["ok"] for c in "xgtb")
+    assert s.find_outliers("e", ["x"])["n_outliers"] == 0
+    assert s.find_outliers("e", ["x"], "mahalanobis")["error"]["type"] == "insufficient_rows"
+    assert s.compare_groups("e", "g", "x")["error"]["type"] == "too_few_groups"
+    assert s.fit_model("e", "x ~ C(g)")["error"]["type"] == "formula_error"
+    assert s.split_dataset("e")["error"]["type"] == "dataset_too_small"
+    load(s, "w", {"a b": [1.0, 2, 3, 4], "c.d": [1, 2, 3, 5], "e`f": list("xyxy")})
+    assert s.profile_dataset("w")["ok"] and s.analyze_missingness("w")["ok"]
+    assert s.fit_model("w", 'Q("a b") ~ Q("c.d")', model_name="q")["ok"] and s.predict("q", "w")["n_scored"] == 4
+    assert s.split_dataset("w", 0.5, stratify_by="e`f")["test"]["rows"] == 2
+    assert s.plot("w", "box", x="e`f", y="a b")["ok"] and s.find_outliers("w", ["a b", "c.d"])["ok"]
