@@ -183,6 +183,23 @@ def test_near_duplicates(spark, monkeypatch, width, percent, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize(("width", "percent", "m"), [(3, 85, 8), (5, 80, 11)])
+def test_pairs_on_the_threshold_pass_the_distance_cut(spark, width, percent, m):
+    k, far = m * near_dedup.CHUNK, near_dedup.most_apart(percent / 100, m)
+    apart = np.random.default_rng(2).binomial(k, 1 - percent / 100, 10**6)
+    assert near_dedup.chunks_for(percent / 100) == m and (apart > far).sum() <= 12 and (apart > 2 * m - 1).sum() > 900
+    # pairs right on the threshold whose signatures share a key and lie more than 2m - 1 apart
+    dice, hashes, multipliers, texts = np.random.default_rng(6), near_dedup.WordHashes(), near_dedup._multipliers(k), []
+    while len(texts) < 6:
+        words = [f"w{x}" for x in dice.integers(0, 10**9, 100 + width - 1)]  # 100 shingles and the first of them: similarity percent / 100
+        pair = [" ".join(words), " ".join(words[: percent + width - 1])]
+        a, b = (near_dedup.signature(near_dedup.shingle_hashes(t, width, hashes), multipliers) for t in pair)
+        if (a != b).sum() >= 2 * m and (near_dedup.signature_keys(a[None]) == near_dedup.signature_keys(b[None])).any():
+            texts += [(len(texts), pair[0]), (len(texts) + 1, pair[1])]
+    found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), width, percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i // 2 * 2 for i in range(6)}
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     found = near_dedup.near_duplicates(awkward, 3, 85).collect()
     by = defaultdict(list)
