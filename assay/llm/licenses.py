@@ -5,7 +5,8 @@ winnowed (the least hash of each ``WINDOW`` in a row); an inverted index of thes
 every worker. A text's shingles are winnowed in the same way, so a shared run of GRAM + WINDOW - 1 words
 always shares a fingerprint. Hits of one template on nearby diagonals are a candidate place; there the
 template is aligned to the text within a band, and the share of its words that match, in order, is its
-coverage. Places that overlap are one, the best.
+coverage; the words that the best place leaves on either side are aligned again, so copies side by side are
+found one by one. Places that overlap are one, the best.
 
 Defined cases: null and empty texts match nothing; a template of fewer than GRAM words is one shingle;
 repeated passages are reported each; templates that cover the same words are all reported; repeated rows
@@ -15,6 +16,7 @@ are scanned alike.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +71,7 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(n for n in templates if words_of(templates[n]))
         self.words = [words_of(templates[n]) for n in self.names]
+        self.own = [set(w) for w in self.words]
         hashes = WordHashes()
         places: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
@@ -79,34 +82,52 @@ class Index:
         self.prints = np.asarray(order, np.uint64)
         self.places = [places[x] for x in order]
         self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
+        #: Sizes with a template of one shingle, shorter than what winnowing is sure to see: there every shingle of a text counts.
+        self.every = {min(GRAM, len(w)) for w in self.words if len(w) <= GRAM}
 
 
-def align(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, start, end): the longest in-order match of ``template`` with ``words`` near ``diagonal``.
+def align(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
+    """(matched words, start, end): the longest in-order match of ``template`` with words[low:high] near ``diagonal``; of equals the tightest, then the first.
 
     Cell (i, j) pairs template word i with text word i + diagonal + j - band; only 2 * band + 1 cells a row exist.
+    A cell holds the most words matched so far and, of equals, the latest start.
     """
     width = 2 * band + 1
-    none = (0, -1, -1)
+    high = len(words) if high is None else min(high, len(words))
+    none = (0, -1)
     previous = [none] * width
+    found = (0, -1, -1)
     for i, word in enumerate(template):
         row = [none] * width
         for j in range(width):
             at = i + diagonal + j - band
-            best = none
-            if j + 1 < width and previous[j + 1][0] > best[0]:  # template word skipped
+            best = previous[j]
+            if j + 1 < width and previous[j + 1] > best:  # template word skipped
                 best = previous[j + 1]
-            if j and row[j - 1][0] > best[0]:  # text word skipped
+            if j and row[j - 1] > best:  # text word skipped
                 best = row[j - 1]
-            if 0 <= at < len(words) and words[at] == word:
-                n, start, _ = previous[j]
-                if n + 1 > best[0] or n + 1 == best[0] and start > best[1]:
-                    best = (n + 1, at if n == 0 else start, at + 1)
-            elif previous[j][0] > best[0]:
-                best = previous[j]
+            if low <= at < high and words[at] == word:
+                n, start = previous[j]
+                best = max(best, (n + 1, start if n else at))
+                own = (n + 1, start if n else at, at + 1)
+                if (own[0], own[1] - own[2], -own[1]) > (found[0], found[1] - found[2], -found[1]):
+                    found = own
             row[j] = best
         previous = row
-    return max(previous, key=lambda c: (c[0], c[1]))
+    return found
+
+
+def places(template: list[bytes], own: set[bytes], words: list[bytes], diagonal: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """Every place in the band around ``diagonal``: the best one, then those in the words left on either side of it."""
+    left = [(max(0, diagonal - BAND), min(len(words), diagonal + len(template) + BAND))]
+    while left:
+        low, high = left.pop()
+        if sum(w in own for w in words[low:high]) < least * len(template):
+            continue
+        matched, start, end = align(template, words, diagonal, BAND, low, high)
+        if matched and matched >= least * len(template):
+            yield matched, start, end
+            left += [(low, start), (end, high)]
 
 
 def scan(text: str | None, index: Index, hashes: WordHashes, least: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
@@ -120,7 +141,7 @@ def scan(text: str | None, index: Index, hashes: WordHashes, least: float = COVE
         grams = _grams(h, n)
         if not len(grams):
             continue
-        kept = fingerprints(grams)
+        kept = np.arange(len(grams)) if n in index.every else fingerprints(grams)
         at = np.minimum(np.searchsorted(index.prints, grams[kept]), len(index.prints) - 1)
         for k in np.flatnonzero(index.prints[at] == grams[kept]).tolist():
             hits |= {(t, int(kept[k]) - p) for t, p in index.places[at[k]]}
@@ -130,12 +151,15 @@ def scan(text: str | None, index: Index, hashes: WordHashes, least: float = COVE
         if last is not None and last[0] == t and diagonal - last[1] <= BAND // 2:
             continue  # inside the band of the place before
         last = (t, diagonal)
-        matched, start, end = align(index.words[t], words, diagonal)
-        if matched >= least * len(index.words[t]):
+        for matched, start, end in places(index.words[t], index.own[t], words, diagonal, least):
             found.append((index.names[t], matched / len(index.words[t]), matched, start, end))
     best: list[tuple[str, float, int, int, int]] = []
-    for m in sorted(found, key=lambda m: (-m[2], m[3], m[0])):
-        if not any(b[0] == m[0] and b[3] < m[4] and m[3] < b[4] for b in best):
+    taken: dict[str, list[tuple[int, int]]] = {}
+    for m in sorted(set(found), key=lambda m: (-m[2], m[4] - m[3], m[3], m[0])):
+        spans = taken.setdefault(m[0], [])
+        k = bisect_left(spans, (m[4], -1))  # spans before k start before this one ends
+        if not k or spans[k - 1][1] <= m[3]:
+            spans.insert(k, (m[3], m[4]))
             best.append(m)
     return sorted(best, key=lambda m: (m[3], m[4], m[0]))
 

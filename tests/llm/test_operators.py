@@ -496,6 +496,21 @@ def test_license_scan(spark, awkward, nothing):
     assert licenses.scan(None, index, near_dedup.WordHashes()) == []
 
 
+@pytest.mark.parametrize("gap", [0, 1, 3])
+def test_notices_side_by_side_are_reported_each(gap):
+    hashes = near_dedup.WordHashes()
+    for name, notice in [*licenses.TEMPLATES.items(), ("one", "mit"), ("two", "mit licensed")]:
+        index, own = licenses.Index({name: notice}), licenses.words_of(notice)
+        for copies in (1, 2, 3, 7):
+            text = " ".join(["x y", *[notice + " z" * gap] * copies])
+            spans = [(m[3], m[4]) for m in licenses.scan(text, index, hashes)]
+            assert spans == [(2 + k * (len(own) + gap), 2 + k * (len(own) + gap) + len(own)) for k in range(copies)], (name, copies)
+    index = licenses.Index({"MIT": "Released under the MIT License."})
+    found = licenses.scan("Released under the MIT License. Under the MIT License. Released under the MIT.", index, hashes)
+    assert [(m[2], m[3], m[4]) for m in found] == [(5, 0, 5), (4, 5, 9), (4, 9, 13)]
+    assert len(licenses.scan("Released under the MIT License. " * 4000, index, hashes)) == 4000
+
+
 def test_banded_alignment_equals_the_full_one_near_its_diagonal():
     dice = np.random.default_rng(1)
     for _ in range(30):
