@@ -6,7 +6,11 @@ weighs by how often words of its context (nearest block element, link, boilerpla
 tag by how often tags of its name do not. A linear scan finds the best contiguous region. The smallest
 element that holds the region and can hold an article gives the page's blocks; where that is the whole
 body, the blocks that the region touches do. Blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are left out.
+adverts, forms, scripts, styles and reader comments are left out. Elements are known as such by their name,
+role or hiddenness, or by a class or id that names nothing else ('sidebar', 'ad-slot'); a wrapper of the content
+is never one by its class: an element that holds an <article> or <main>, or on pages without these most of the
+words. A class or id that only contains such a word ('has-sidebar', 'post-header') makes a context of its own for
+the weights and drops nothing.
 
 Defined cases: null and empty html give the empty string; character references are decoded, with or
 without their semicolon as in HTML; unclosed and crossing elements are closed by their parents;
@@ -48,6 +52,8 @@ NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsbox adbox banner billboard sponsor sponsored promo promotion nav navbar navigation navi menu submenu breadcrumb breadcrumbs toc pagination pager topbar header masthead footer foot sidebar side aside rail widget widgets related recommended recommendations "
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay lightbox subscribe subscription newsletter signup login signin register form search share sharing social follow comment comments commentlist reply replies respond disqus discussion feedback copyright legal disclaimer skip hidden".split()
 )
+#: Words that add nothing to such a name.
+NEUTRAL = set("area bar block bottom box container content element group inner item items left link links list outer panel posts primary right secondary section site slot stories story top unit wrap wrapper zone".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -67,28 +73,65 @@ class Page:
     texts: list[list[str]] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
+    # nodes named like boilerplate; node and words of each text outside boilerplate elements proper
+    flagged: list[int] = field(default_factory=list)
+    spoken: list[tuple[int, int]] = field(default_factory=list)
 
 
 def _boilerplate(name: str, attributes: str) -> bool:
+    """By the element's name, role or hiddenness."""
     if name in DROPPED:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), a or b or c
-        if key in ("class", "id"):
-            if any(x.lower() in NAMES for x in _NAME.findall(value)) or any(x in NAMES for x in re.split(r"[\s_-]+", value.lower())):
-                return True
-        elif key == "role" and value.strip().lower() in ROLES or key == "aria-hidden" and value.strip().lower() == "true":
+        key, value = key.lower(), (a or b or c).strip().lower()
+        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
             return True
-    return bool(re.search(r"\bhidden(?=\s|$|=)", attributes)) and "aria-hidden" not in attributes or bool(re.search(r"display\s*:\s*none", attributes))
+    if "hidden" in attributes and re.search(r"(?<![\w-])hidden(?=[\s/]|$)", _ATTRIBUTE.sub(" ", attributes)):
+        return True
+    return bool(re.search(r"display\s*:\s*none", attributes))
+
+
+def _named(name: str, attributes: str) -> int:
+    """2 if a class or the id names boilerplate and nothing else, 1 if it only contains such a word, 0 otherwise."""
+    if not attributes or name in ("html", "body", "article", "main"):
+        return 0
+    found = 0
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            for value in (a or b or c).split():
+                for words in ([x.lower() for x in _NAME.findall(value)], re.split(r"[_-]+", value.lower())):
+                    if not NAMES.isdisjoint(words):
+                        found = max(found, 2 if all(x in NAMES or x in NEUTRAL for x in words) else 1)
+    return found
 
 
 def parse(html: str) -> Page:
+    """The page's tokens; wrappers of the content that are named like boilerplate do not count as such."""
+    page = _read(html, frozenset())
+    if page.flagged and (wrappers := _wrappers(page)):
+        page = _read(html, wrappers)
+    return page
+
+
+def _wrappers(page: Page) -> frozenset[int]:
+    """Named nodes that hold an <article> or <main>, or on pages without these more than half of the words."""
+    words, holds = [0] * len(page.names), [n in ("article", "main") for n in page.names]
+    for node, n in page.spoken:
+        words[node] += n
+    marked = any(holds)
+    for node in range(len(words) - 1, 0, -1):  # children come after their parents
+        words[page.parents[node]] += words[node]
+        holds[page.parents[node]] |= holds[node]
+    return frozenset(k for k in page.flagged if holds[k] or not marked and 2 * words[k] > words[0])
+
+
+def _read(html: str, wrappers: frozenset[int]) -> Page:
     """One pass over the page."""
     page = Page(parents=[-1], names=["html"])
-    # open elements: (name, node, dropped, labelled, in a link)
-    stack: list[tuple[str, int, bool, bool, bool]] = [("html", 0, False, False, False)]
+    # open elements: (name, node, dropped, labelled, in a link, dropped by more than a class, in an element whose class has such a word)
+    stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("html", 0, False, False, False, False, False)]
     page.texts.append([])
     block = 0
 
@@ -107,7 +150,7 @@ def parse(html: str) -> Page:
         page.paths.append(path)
 
     def text(raw: str) -> None:
-        name, path, dropped, labelled, link = stack[-1]
+        name, path, dropped, labelled, link, proper, part = stack[-1]
         value = unescape(raw) if "&" in raw else raw
         n = len(value.split())
         if not n:
@@ -115,7 +158,9 @@ def parse(html: str) -> Page:
                 page.texts[block].append(value)
             return
         near = next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "html")
-        page.kinds.append("w:x" if dropped else f"w:a:{near}" if link else f"w:{near}")
+        if not proper:
+            page.spoken.append((path, n))
+        page.kinds.append("w:x" if dropped else ("w:n:" if part else "w:") + (f"a:{near}" if link else near))
         page.words.append(n)
         page.blocks.append(block)
         page.dropped.append(dropped)
@@ -152,7 +197,10 @@ def parse(html: str) -> Page:
             if stack[k][0] in BLOCKS and stack[k][0] != "p":
                 break
         top = stack[-1]
-        dropped = top[2] or _boilerplate(name, m[3] or "")
+        proper = top[5] or _boilerplate(name, m[3] or "")
+        named = _named(name, m[3] or "")
+        node = len(page.names)
+        dropped = top[2] or proper or named == 2 and node not in wrappers
         labelled = top[3] or name in ("article", "main")
         if name in BLOCKS:
             new_block()
@@ -167,7 +215,11 @@ def parse(html: str) -> Page:
             continue
         page.parents.append(top[1])
         page.names.append(name)
-        stack.append((name, len(page.names) - 1, dropped, labelled, top[4] or name == "a"))
+        if named == 2:
+            page.flagged.append(node)
+        # the words of a wrapper say nothing of what it wraps
+        part = named == 1 or top[6] and name not in ("article", "main")
+        stack.append((name, node, dropped, labelled, top[4] or name == "a", proper, part))
     return page
 
 

@@ -325,6 +325,20 @@ def test_main_text(spark):
     assert html_extract.html_extraction(df.where("1 = 0")).count() == 0
 
 
+def test_class_words_drop_no_content():
+    weights = html_extract.fit([PAGE] * 3)
+    text = html_extract.main_text(PAGE, weights)
+    for bare in (PAGE, PAGE.replace("article", "div")):
+        for attribute in ("class='site has-sidebar'", "id='page' class='no-sidebar'", "class='sidebar'", "class='sidebar-left widget'", "id=form"):
+            wrapped = bare.replace("<header>", f"<div {attribute}><header>", 1).replace("</body>", "</div></body>")
+            assert html_extract.main_text(wrapped, weights) == text, attribute
+    for inside in ("<div class='post-header'>By the author</div>", "<section class='related-work'><p>Others wrote of it before us.</p></section>"):
+        found = html_extract.main_text(PAGE.replace("<p>First", inside + "<p>First"), weights)
+        assert found == text.replace("First paragraph", re.sub("<[^>]+>", "", inside) + "\nFirst paragraph")
+    for inside in ("<div class='ad-slot'>Buy</div>", "<ul class='relatedPosts'><li>Other</ul>", "<div id='comment-list'><p>So wrong.</div>", "<div hidden>x</div>"):
+        assert html_extract.main_text(PAGE.replace("<p>First", inside + "<p>First"), weights) == text
+
+
 def test_region_is_the_best_of_all():
     dice = np.random.default_rng(8)
     for _ in range(50):
