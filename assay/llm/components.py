@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 
 #: Each round at least halves the distance to the smallest id; more rounds than this mean a fault, not a large graph.
 MOST_ROUNDS = 60
@@ -19,7 +19,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges``: columns a, b. Returns node, component (the smallest id reachable) for every node with a link to another.
 
-    Minima are combined before they are shuffled, and every round ends in a written table. Self-links and nulls
+    Minima are combined before they are shuffled, hubs take theirs by a broadcast, and every round ends in a written table. Self-links and nulls
     are ignored; repeated links count once; no links give no rows.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -27,11 +27,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     for _ in range(MOST_ROUNDS):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        large = _with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        large = materialise(large, "stars")
+        near = _with_least(large, 2 * state[0])
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(near.where("v = m").select("u", "v"))
+        e = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         now = _state(e)
         if now == state:
             break
@@ -40,3 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Each edge with m, the least v of its u; a hub's edges are not gathered (``total`` bounds their number)."""
+    return join_hot(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "u", total)

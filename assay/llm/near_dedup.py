@@ -5,41 +5,48 @@ are split into m chunks of ``CHUNK`` minima; two signatures that differ in at mo
 in some chunk but for one minimum (pigeonhole), so each chunk is listed once for each minimum left out:
 documents that share such a key are compared, and go on where their signatures differ in at most ``most``
 places. Both numbers follow from the threshold: a pair right on it shares no key, or differs in more places,
-with a chance of at most ``MISS`` altogether. ``most`` is above d (20 of 48 at 0.85, 30 of 66 at 0.8): up to d
+with a chance of at most ``MISS`` altogether. ``most`` is above d (24 of 60 at 0.85, 37 of 78 at 0.8): up to d
 places a shared key is certain, beyond it likely.
 
 The join never expands groups into pairs:
 
 1. Equal sets collapse to their smallest document id (a partial aggregate).
 2. Only keys that two sets share go on. Within a key, signatures are compared breadth-first and only a
-   spanning forest of the near ones comes out; a key with more than ``BLOCK`` sets is dealt out as pairs
-   of blocks, so a task holds a bounded part of it.
+   spanning forest of the near ones comes out.
 3. The forest's components are candidate groups: no link leads out of one. Only their documents' texts
-   are read again, and links are confirmed on the full sets, again breadth-first and in bounded blocks.
+   are read again, and links are confirmed on the full sets, again breadth-first.
+
+A key, or candidate group, of more than ``BLOCK`` sets is dealt out in blocks, each joined by the same few
+``PIVOTS``. Near copies of one text come together there, through the pivots. Only sets that are then still apart
+from the group's largest class meet all blocks, so no link is missed and a task holds a bounded part of a group.
+Keys and prints that many rows share are joined by broadcasts of a bounded number of such keys, never in one task.
 
 Defined cases: letters A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer words than w make one
 shingle; no words or null text make the empty set, which is linked with nothing; a null id is no document's
-partner; rows that repeat an id with the same text are one node, and with differing texts share a component.
+partner; rows that repeat an id with the same text are one node, and with differing texts share a component; of
+equal sets the smallest id is kept; texts of any length are read whole; further columns of ``docs`` may have any name.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import is_hot, join_hot, materialise, small_batches
 from .components import connected_components
 
 CHUNK = 6
-MISS = 1e-5
+MISS = 1e-6
 #: Sets, and shingles, of one block of a shared key or of a candidate group.
 BLOCK = 1024
 BLOCK_SHINGLES = 2_000_000
+#: Sets of a large group that all its blocks hold.
+PIVOTS = 16
 #: Candidate documents up to which their ids are broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -167,12 +174,43 @@ def _bounds(frame: pd.DataFrame, by: list[str]) -> list[int]:
     return [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks: str, member: str) -> DataFrame:
-    """Deal the members of a group of ``blocks`` blocks out to all pairs of blocks: adds __lo and __hi."""
-    own = F.when(F.col(blocks) > 1, F.pmod(F.xxhash64(member, F.lit(7)), F.col(blocks))).otherwise(F.lit(0)).cast("int")
-    dealt = rows.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.greatest(F.col(blocks), F.lit(1)).cast("int") - 1)))
-    dealt = dealt.withColumn("__lo", F.least("__own", "__other")).withColumn("__hi", F.greatest("__own", "__other"))
-    return dealt.drop("__own", "__other", blocks)
+def _in_groups(rows: DataFrame, large: DataFrame, payload: str, forest: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Classes (node, component) of the links within groups.
+
+    ``rows``: group, blocks and n (sets) of it, id, weight (in blocks) and the payload; ``large``: group, blocks of
+    those with several; ``forest`` turns rows sorted by (group, at) into links (a, b) among those alike in both.
+    """
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        return dealt.select("group", "at", "id", payload).repartition("group", "at").sortWithinPartitions("group", "at").mapInPandas(forest, "a long, b long")
+
+    several = F.col("blocks") > 1
+    block = lambda of: F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(of, F.lit(1))).cast("int")
+    share = F.least(PIVOTS / F.col("n"), 0.25 / F.col("blocks"))
+    pivot = several & (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+    places = F.when(pivot, F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(block(F.col("blocks"))))
+    first = materialise(linked(rows.withColumn("at", F.explode(places))), "links")
+    classes = connected_components(first)
+    if large.isEmpty():
+        return classes
+    big = rows.where(several)
+    labels = big.select("group", "id", "weight").join(classes.withColumnRenamed("node", "id"), "id", "left").select("group", "id", "weight", F.coalesce("component", "id").alias("label"))
+    labels = materialise(labels, "labels")
+    total = labels.count()
+    tops = labels.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    tops = materialise(tops, "tops")
+    apart = materialise(join_hot(labels, tops, "group", total).where("label <> top").select("group", "id", "weight"), "apart")
+    if apart.isEmpty():
+        return classes
+    # place chunk * of + block holds the block's sets and the chunk's strays
+    chunks = apart.groupBy("group").agg(F.greatest(F.ceil(F.sum("weight")), F.lit(1)).cast("int").alias("chunks"))
+    chunks = materialise(chunks.join(tops, "group").join(large.withColumnRenamed("blocks", "of"), "group").select("group", "n", "chunks", "of"), "chunks")
+    members = join_hot(big.select("group", "id", payload), chunks, "group", total)
+    strays = members.join(apart.select("group", "id").distinct(), ["group", "id"], "left_semi")
+    home, own = block(F.col("of")), F.pmod(F.xxhash64("id", F.lit(13)), F.col("chunks")).cast("int")
+    every = members.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c * F.col("of") + home)))
+    guests = strays.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda b: own * F.col("of") + b))).where(F.col("at") % F.col("of") != home)
+    return connected_components(first.union(linked(every.union(guests))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     made = materialise(texts.mapInPandas(features, "doc_id long, n_shingles long, print binary, signature binary"), "near-features")
     usable = made.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    sets = materialise(usable.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "near-sets")
+    same = usable.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
+    sets = materialise(same, "near-sets")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,13 +246,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
                 listed = signature_keys(signatures)
                 yield pd.DataFrame({"key": listed.ravel(), "id": np.repeat(batch["id"].to_numpy("int64"), listed.shape[1])})
 
-    listed = sets.select("id", "signature").mapInPandas(keys, "key long, id long")
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = listed.join(shared, "key").join(sets.select("id", "signature"), "id")
-    dealt = _in_blocks(members, "key", "blocks", "id")
+    listed = materialise(sets.select("id", "signature").mapInPandas(keys, "key long, id long"), "near-keys")
+    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "near-shared")
+    members = materialise(join_hot(listed, shared, "key", listed.count()).withColumnRenamed("key", "group"), "near-members")
+    rows = members.join(sets.select("id", "signature"), "id").withColumn("weight", F.lit(1 / BLOCK))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = ["key", "__lo", "__hi"]
+        by = ["group", "at"]
         seen: set[tuple[int, int]] = set()
         for frame in _groups(batches, by):
             ids = frame["id"].to_numpy("int64")
@@ -234,21 +274,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             if fresh:
                 yield pd.DataFrame(fresh, columns=["a", "b"])
 
-    spread = dealt.repartition("key", "__lo", "__hi").sortWithinPartitions("key", "__lo", "__hi")
-    grouped = connected_components(spread.select("key", "__lo", "__hi", "id", "signature").mapInPandas(candidates, "a long, b long"))
+    grouped = _in_groups(rows, shared.where("blocks > 1").select(F.col("key").alias("group"), "blocks"), "signature", candidates)
 
     sized = grouped.join(sets.select(F.col("id").alias("node"), "n_shingles"), "node")
-    weight = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    suspects = materialise(sized.join(weight, "component").select("component", "blocks", F.col("node").alias("doc_id")), "near-suspects")
-    few = suspects.count() <= BROADCAST_ROWS
-    picked = texts.join(F.broadcast(suspects) if few else suspects, "doc_id")
-    dealt = _in_blocks(picked, "component", "blocks", "doc_id")
+    sized = materialise(sized.withColumn("weight", F.col("n_shingles") / BLOCK_SHINGLES + 1 / BLOCK), "near-grouped")
+    weights = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("weight")).cast("int").alias("blocks"))
+    weights = materialise(weights, "near-weights")
+    n_sized = sized.count()
+    suspects = join_hot(sized, weights, "component", n_sized).select(F.col("component").alias("group"), "blocks", "n", "weight", F.col("node").alias("id"))
+    suspects = materialise(suspects, "near-suspects")
+    few = n_sized <= BROADCAST_ROWS
+    rows = texts.withColumnRenamed("doc_id", "id").join(F.broadcast(suspects) if few else suspects, "id")
 
     def confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = ["component", "__lo", "__hi"]
+        by = ["group", "at"]
         hashes = WordHashes()
         for frame in _groups(_shingled(batches, width, hashes), by):
-            ids, shingles = frame["doc_id"].to_numpy("int64"), frame["shingles"].tolist()
+            ids, shingles = frame["id"].to_numpy("int64"), frame["shingles"].tolist()
             bounds = _bounds(frame, by)
             edges = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -256,13 +298,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    spread = dealt.repartition("component", "__lo", "__hi").sortWithinPartitions("component", "__lo", "__hi")
-    linked = connected_components(spread.select("component", "__lo", "__hi", "doc_id", "text").mapInPandas(confirmed, "a long, b long"))
+    linked = _in_groups(rows, weights.where("blocks > 1").select(F.col("component").alias("group"), "blocks"), "text", confirmed)
 
-    classes = sets.select("print", "n_shingles", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("print", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    rows = made.select("doc_id", "n_shingles", "print").join(classes, ["print", "n_shingles"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # only repeated or linked sets need a look-up; others, and empty ones, are their own class
+    classes = sets.join(linked.withColumnRenamed("node", "id"), "id", "left").where("component IS NOT NULL OR n > 1")
+    classes = materialise(classes.select("print", "n", F.coalesce("component", "id").alias("component_id")), "near-classes")
+    total, full = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], made.where("print IS NOT NULL AND doc_id IS NOT NULL")
+    found = join_hot(full, classes, "print", total).select("doc_id", "n_shingles", "component_id")
+    hot = classes.where(is_hot(total)).select("print")
+    alone = full.join(F.broadcast(hot), "print", "left_anti").join(classes.select("print"), "print", "left_anti")
+    alone = alone.unionByName(made.where("print IS NULL OR doc_id IS NULL")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def _shingled(batches: Iterator[pd.DataFrame], width: int, hashes: WordHashes) -> Iterator[pd.DataFrame]:
@@ -299,9 +345,10 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, with all columns; rows without an id stay."""
     found = near_duplicates(docs, width, percent, id_col, text_col)
-    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "near-gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(F.broadcast(gone) if few else gone, "id", "left_anti").select("row.*")
 
 
 #: The query of width 3 and 85 percent as SQL over ``documents`` (ids are distinct there).

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from assay.llm import components, decontaminate, html_extract, language_id, licenses, near_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
+from assay.llm import common, components, decontaminate, html_extract, language_id, licenses, near_dedup, packing, quality_classifier, quality_rules, token_files, toxicity
 from assay.llm import queries as Q
 from assay.llm.tokens import PieceEncoder, default_tokenizer
 
@@ -175,7 +175,9 @@ def copies():
 @pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 1024), (5, 80, 4)])
 def test_near_duplicates(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)  # small blocks: large groups meet in pairs of blocks
-    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0 if block == 4 else 10**6)
+    if block == 4:
+        monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     texts = copies()
     found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), width, percent).collect()
     wanted = components_by_force(texts, width, percent)
@@ -183,11 +185,11 @@ def test_near_duplicates(spark, monkeypatch, width, percent, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-@pytest.mark.parametrize(("width", "percent", "m"), [(3, 85, 8), (5, 80, 11)])
+@pytest.mark.parametrize(("width", "percent", "m"), [(3, 85, 10), (5, 80, 13)])
 def test_pairs_on_the_threshold_pass_the_distance_cut(spark, width, percent, m):
     k, far = m * near_dedup.CHUNK, near_dedup.most_apart(percent / 100, m)
     apart = np.random.default_rng(2).binomial(k, 1 - percent / 100, 10**6)
-    assert near_dedup.chunks_for(percent / 100) == m and (apart > far).sum() <= 12 and (apart > 2 * m - 1).sum() > 900
+    assert near_dedup.chunks_for(percent / 100) == m and (apart > far).sum() <= 3 and (apart > 2 * m - 1).sum() > 100
     # pairs right on the threshold whose signatures share a key and lie more than 2m - 1 apart
     dice, hashes, multipliers, texts = np.random.default_rng(6), near_dedup.WordHashes(), near_dedup._multipliers(k), []
     while len(texts) < 6:
@@ -200,6 +202,35 @@ def test_pairs_on_the_threshold_pass_the_distance_cut(spark, width, percent, m):
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: i // 2 * 2 for i in range(6)}
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_no_pair_on_the_threshold_is_lost(percent):
+    m = near_dedup.chunks_for(percent / 100)
+    multipliers, far = near_dedup._multipliers(m * near_dedup.CHUNK), near_dedup.most_apart(percent / 100, m)
+    dice, n = np.random.default_rng(11), 100
+    wholes = dice.integers(0, 2**63, (10_000, n), dtype=np.uint64)
+    a, b = (np.stack([near_dedup.signature(s, multipliers) for s in sets]) for sets in (wholes, wholes[:, : n * percent // 100]))
+    alike = (near_dedup.signature_keys(a) == near_dedup.signature_keys(b)).any(axis=1)
+    assert alike.all() and ((a != b).sum(axis=1) <= far).all()
+
+
+@pytest.mark.parametrize("classes", [1, 2])
+def test_a_large_group_is_dealt_in_bounded_parts(spark, monkeypatch, tmp_path, classes):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    n = 3000
+
+    def forest(batches):
+        for frame in near_dedup._groups(batches, ["group", "at"]):
+            for _, own in frame.groupby("at"):
+                assert len(own) < 6 * 64  # one block of some 64 sets and as many strays
+                first = own.groupby("payload").id.transform("min")
+                yield pd.DataFrame({"a": first, "b": own.id})
+
+    rows = spark.range(n).selectExpr("1L as `group`", f"{-(-n // 64)} as blocks", f"{n}L as n", f"{1 / 64}D as weight", "id", f"id % 40 div 39 * {classes - 1} as payload")
+    found = near_dedup._in_groups(rows, spark.createDataFrame([(1, -(-n // 64))], "group long, blocks int"), "payload", forest).collect()
+    wanted = {i: 39 if classes == 2 and i % 40 == 39 else 0 for i in range(n)}
+    assert {r["node"]: r["component"] for r in found} == wanted
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     found = near_dedup.near_duplicates(awkward, 3, 85).collect()
     by = defaultdict(list)
