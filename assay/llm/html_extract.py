@@ -1,26 +1,32 @@
 """Main-text extraction by a maximum-scoring contiguous region of a page's tokens.
 
-A page is read once into tokens: words, which score positive, and tags, which score negative. The weights
-come from labelled pages - those whose markup names the content with an <article> or <main> element: a word
-weighs by how often words of its context (nearest block element, link, boilerplate) lie in the content, a
-tag by how often tags of its name do not. A linear scan finds the best contiguous region. The smallest
-element that holds the region and can hold an article gives the page's blocks; where that is the whole
-body, the blocks that the region touches do. Blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are left out. Elements are known as such by their name,
-role or hiddenness, or by a class or id that names nothing else ('sidebar', 'ad-slot'); a wrapper of the content
-is never one by its class: an element that holds an <article> or <main>, or on pages without these most of the
-words. A class or id that only contains such a word ('has-sidebar', 'post-header') makes a context of its own for
-the weights and drops nothing.
+A page is read once into tokens: runs of words, which score positive, and tags, which score negative. Each
+token's chance of lying in the content is a naive Bayes estimate over what surrounds it: the nearest block
+element, whether it is a link, how long its block is and how much of it is linked, and the elements, classes,
+ids and roles around it. These weights are learned from labelled pages - those whose markup names the content
+with an <article> or <main> element - and start from a prior: an element called like boilerplate (``DROPPED``,
+``NAMES``, ``ROLES``) is unlikely to be content until pages say otherwise. A linear scan finds the contiguous
+region with the largest sum; its scale of tags against words is chosen on the labelled pages, as they are and
+with all names left out of account.
+
+The text comes from the region: the blocks that it touches, but for those inside it that the same estimate puts
+outside the content (adverts, asides, forms, comments); where it puts all of them outside, names alone decide. Where
+one element other than the body holds the region, its further blocks join if the estimate puts them inside, so a
+form in the middle does not cut off a short end. A class or id says nothing about what it merely wraps: an
+element that holds an <article>, a <main> or more than half of the page's words is judged by the rest alone.
 
 Defined cases: null and empty html give the empty string; character references are decoded, with or
-without their semicolon as in HTML; unclosed and crossing elements are closed by their parents;
-unfinished tags and comments at the end are markup; repeated rows are extracted alike.
+without their semicolon as in HTML; unclosed and crossing elements are closed by their parents; unfinished
+tags and comments at the end are markup; hidden elements, scripts and styles are never text; of equal regions
+the first is taken; elements may nest, or stay open, to any depth, in linear time; pages of any length are read
+whole; repeated rows are extracted alike; further columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -29,22 +35,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches
+from .common import fitting_rows, small_batches
 
-#: Labelled pages that the weights are fitted on, and the longest of them in characters.
-FIT_PAGES = 2_000
-FIT_CHARS = 200_000
-#: Weight of tags against words, chosen on the labelled pages.
-TAG_SCALES = (0.5, 1.0, 2.0, 4.0, 8.0)
-#: Context weights that hold before anything is learned, in pages' worth of evidence.
-PRIOR = 4.0
+#: Labelled pages that the weights are fitted on, and the most characters of these in all; the first of them choose the scale.
+FIT_PAGES, FIT_CHARS, SCALE_PAGES = 2_000, 60_000_000, 300
+#: Weight of tags against words, chosen on the labelled pages; of equals the first.
+TAG_SCALES = (1.0, 2.0, 0.5, 4.0, 8.0)
+#: Evidence that holds before anything is learned, in pages, and the prior chance of content inside an element called like boilerplate.
+PRIOR, UNLIKELY = 4.0, 0.002
+#: A sign's most log odds, whether it is of structure or of a name; log odds below which a block inside the region is left out.
+MOST_LOCAL, MOST_NAMED, LEAVE_OUT = 3.0, 7.0, -1.0
 
 #: Elements by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math object canvas audio video".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = RAW | set("head nav header footer aside form button select menu dialog datalist fieldset label input".split())
-CONTAINERS = set("article main section div td body html".split())
 CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 ROLES = set("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog tooltip".split())
 #: Words of a class or id that name boilerplate.
@@ -62,113 +68,94 @@ _CLOSERS: dict[str, re.Pattern] = {}
 
 @dataclass
 class Page:
-    """Tokens of a page: for each its kind, words (0 for a tag), block, container path and whether it is dropped."""
-
+    """Elements (nodes) and tokens of a page; a token is a run of words in a block, or a tag."""
+
+    # nodes, in the order in which they open: parent, whether they frame the page, signs of their own, whether they are an <article> or <main>, called like boilerplate by a class
+    parents: list[int] = field(default_factory=lambda: [-1])
+    frames: list[bool] = field(default_factory=lambda: [True])
+    signs: list[list[str]] = field(default_factory=lambda: [[]])
+    marked: list[bool] = field(default_factory=lambda: [False])
+    named: list[bool] = field(default_factory=lambda: [False])
+    # tokens: sign (nearest block or tag name), words (0 for a tag), block, node
     kinds: list[str] = field(default_factory=list)
     words: list[int] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
-    dropped: list[bool] = field(default_factory=list)
-    labelled: list[bool] = field(default_factory=list)
-    paths: list[int] = field(default_factory=list)
-    texts: list[list[str]] = field(default_factory=list)
-    parents: list[int] = field(default_factory=list)
-    names: list[str] = field(default_factory=list)
-    # nodes named like boilerplate; node and words of each text outside boilerplate elements proper
-    flagged: list[int] = field(default_factory=list)
-    spoken: list[tuple[int, int]] = field(default_factory=list)
-
-
-def _boilerplate(name: str, attributes: str) -> bool:
-    """By the element's name, role or hiddenness."""
-    if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    nodes: list[int] = field(default_factory=list)
+    # blocks: their pieces of text, words, and words in links
+    texts: list[list[str]] = field(default_factory=lambda: [[]])
+    sizes: list[int] = field(default_factory=lambda: [0])
+    linked: list[int] = field(default_factory=lambda: [0])
+
+
+def _hidden(attributes: str) -> bool:
+    if "hidden" not in attributes and "none" not in attributes:
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), (a or b or c).strip().lower()
-        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
+        if key.lower() == "aria-hidden" and (a or b or c).strip().lower() == "true" or key.lower() == "hidden":
             return True
-    if "hidden" in attributes and re.search(r"(?<![\w-])hidden(?=[\s/]|$)", _ATTRIBUTE.sub(" ", attributes)):
-        return True
-    return bool(re.search(r"display\s*:\s*none", attributes))
+    return bool(re.search(r"(?<![\w-])hidden(?=[\s/]|$)", _ATTRIBUTE.sub(" ", attributes)) or re.search(r"display\s*:\s*none", attributes))
 
 
-def _named(name: str, attributes: str) -> int:
-    """2 if a class or the id names boilerplate and nothing else, 1 if it only contains such a word, 0 otherwise."""
-    if not attributes or name in ("html", "body", "article", "main"):
-        return 0
-    found = 0
+def _signs(name: str, attributes: str) -> tuple[list[str], bool]:
+    """What an element's name, role, classes and id say, and whether a class or id names boilerplate and nothing else."""
+    signs, named = ["e:" + name] if name in DROPPED else ["m:content"] if name in ("article", "main") else [], False
+    if not attributes or name in ("html", "body"):
+        return signs, named
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        if key.lower() in ("class", "id"):
-            for value in (a or b or c).split():
-                for words in ([x.lower() for x in _NAME.findall(value)], re.split(r"[_-]+", value.lower())):
-                    if not NAMES.isdisjoint(words):
-                        found = max(found, 2 if all(x in NAMES or x in NEUTRAL for x in words) else 1)
-    return found
+        key, value = key.lower(), a or b or c
+        if key == "role" and value.strip().lower() in ROLES:
+            signs.append("r:" + value.strip().lower())
+        elif key in ("class", "id") and name not in ("article", "main"):
+            for one in value.split():
+                words = [x.lower() for x in _NAME.findall(one)], re.split(r"[_-]+", one.lower())
+                hit = any(not NAMES.isdisjoint(w) and all(x in NAMES or x in NEUTRAL for x in w) for w in words)
+                named |= hit
+                signs.append(("n:" if hit else "c:") + one.lower())
+    return signs, named
 
 
 def parse(html: str) -> Page:
-    """The page's tokens; wrappers of the content that are named like boilerplate do not count as such."""
-    page = _read(html, frozenset())
-    if page.flagged and (wrappers := _wrappers(page)):
-        page = _read(html, wrappers)
-    return page
-
-
-def _wrappers(page: Page) -> frozenset[int]:
-    """Named nodes that hold an <article> or <main>, or on pages without these more than half of the words."""
-    words, holds = [0] * len(page.names), [n in ("article", "main") for n in page.names]
-    for node, n in page.spoken:
-        words[node] += n
-    marked = any(holds)
-    for node in range(len(words) - 1, 0, -1):  # children come after their parents
-        words[page.parents[node]] += words[node]
-        holds[page.parents[node]] |= holds[node]
-    return frozenset(k for k in page.flagged if holds[k] or not marked and 2 * words[k] > words[0])
-
-
-def _read(html: str, wrappers: frozenset[int]) -> Page:
-    """One pass over the page."""
-    page = Page(parents=[-1], names=["html"])
-    # open elements: (name, node, dropped, labelled, in a link, dropped by more than a class, in an element whose class has such a word)
-    stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("html", 0, False, False, False, False, False)]
-    page.texts.append([])
+    """The page's tokens, in one pass: every step looks at a bounded number of open elements."""
+    page = Page()
+    # open elements: name, node, whether in a link, place of the nearest block element and of the nearest other than <p>, at or below
+    names, nodes, links, near, solid = ["html"], [0], [False], [0], [0]
+    places: dict[str, list[int]] = defaultdict(list)  # name: where it is open
     block = 0
 
+    def cut(depth: int) -> None:
+        for name in names[depth:]:
+            places[name].pop()
+        for stack in (names, nodes, links, near, solid):
+            del stack[depth:]
+
     def new_block() -> None:
         nonlocal block
         if page.texts[block]:
             page.texts.append([])
+            page.sizes.append(0)
+            page.linked.append(0)
             block += 1
 
-    def tag(kind: str, dropped: bool, labelled: bool, path: int) -> None:
+    def token(kind: str, words: int) -> None:
         page.kinds.append(kind)
-        page.words.append(0)
-        page.blocks.append(-1)
-        page.dropped.append(dropped)
-        page.labelled.append(labelled)
-        page.paths.append(path)
+        page.words.append(words)
+        page.blocks.append(block)
+        page.nodes.append(nodes[-1])
 
     def text(raw: str) -> None:
-        name, path, dropped, labelled, link, proper, part = stack[-1]
         value = unescape(raw) if "&" in raw else raw
         n = len(value.split())
-        if not n:
-            if value and page.texts[block] and not dropped:
-                page.texts[block].append(value)
-            return
-        near = next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "html")
-        if not proper:
-            page.spoken.append((path, n))
-        page.kinds.append("w:x" if dropped else ("w:n:" if part else "w:") + (f"a:{near}" if link else near))
-        page.words.append(n)
-        page.blocks.append(block)
-        page.dropped.append(dropped)
-        page.labelled.append(labelled)
-        page.paths.append(path)
-        if not dropped:
+        if n:
+            token(("a:" if links[-1] else "") + names[near[-1]], n)
+            page.sizes[block] += n
+            page.linked[block] += n * links[-1]
+        if n or page.texts[block]:
             page.texts[block].append(value)
 
+    def skip(name: str, at: int) -> int:
+        closer = _CLOSERS.setdefault(name, re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I))
+        return closer.search(html, at).end()
+
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -178,63 +165,139 @@ def _read(html: str, wrappers: frozenset[int]) -> Page:
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
+        name, attributes = (m[2] or "").lower(), m[3] or ""
         if not name:
             continue
         if m[1]:
             if name in BLOCKS:
                 new_block()
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if depth and (name in BLOCKS or not any(e[0] in BLOCKS and e[0] != "p" for e in stack[depth + 1 :])):
-                del stack[depth:]
-            top = stack[-1]
-            tag("/" + name, top[2], top[3], top[1])
+            depth = places[name][-1] if places[name] else 0
+            # an inline element's end does not close blocks that were opened inside it
+            if depth and (name in BLOCKS or solid[-1] <= depth):
+                cut(depth)
+            token("/" + name, 0)
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if name in CLOSED_BY.get(stack[k][0], ()):
-                del stack[k:]
-                break
-            if stack[k][0] in BLOCKS and stack[k][0] != "p":
-                break
-        top = stack[-1]
-        proper = top[5] or _boilerplate(name, m[3] or "")
-        named = _named(name, m[3] or "")
-        node = len(page.names)
-        dropped = top[2] or proper or named == 2 and node not in wrappers
-        labelled = top[3] or name in ("article", "main")
         if name in BLOCKS:
+            k = near[-1]
+            while k:
+                if name in CLOSED_BY.get(names[k], ()):
+                    cut(k)
+                    break
+                if names[k] != "p":
+                    break
+                k = near[k - 1]
             new_block()
-        elif name in ("br", "img") and page.texts[block] and not top[2]:
+        elif name in ("br", "img") and page.texts[block]:
             page.texts[block].append(" ")
-        tag(name, dropped, labelled, top[1])
-        if name in VOID or (m[3] or "").endswith("/") and name not in BLOCKS:
+        token(name, 0)
+        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:
-            closer = _CLOSERS.setdefault(name, re.compile(rf"</{name}\s*>|\Z", re.I))
-            at = closer.search(html, at).end()
+            at = skip(name, at)
             continue
-        page.parents.append(top[1])
-        page.names.append(name)
-        if named == 2:
-            page.flagged.append(node)
-        # the words of a wrapper say nothing of what it wraps
-        part = named == 1 or top[6] and name not in ("article", "main")
-        stack.append((name, node, dropped, labelled, top[4] or name == "a", proper, part))
+        signs, named = _signs(name, attributes)
+        if attributes and name not in ("html", "body") and _hidden(attributes):
+            signs.append("hidden")
+        page.parents.append(nodes[-1])
+        page.frames.append(name in ("html", "body"))
+        page.signs.append(signs)
+        page.marked.append(name in ("article", "main"))
+        page.named.append(named)
+        depth = len(names)
+        places[name].append(depth)
+        names.append(name)
+        nodes.append(len(page.parents) - 1)
+        links.append(links[-1] or name == "a")
+        near.append(depth if name in BLOCKS else near[-1])
+        solid.append(depth if name in BLOCKS and name != "p" else solid[-1])
+    _unwrap(page)
     return page
 
 
+def _unwrap(page: Page) -> None:
+    """Take from wrappers of the content the signs that their classes give."""
+    if not any(s[:2] in ("c:", "n:") for own in page.signs for s in own):
+        return
+    words, holds = [0] * len(page.parents), list(page.marked)
+    proper = [False] * len(page.parents)
+    for node in range(1, len(words)):
+        proper[node] = proper[page.parents[node]] or any(s[:2] in ("e:", "r:") or s == "hidden" for s in page.signs[node])
+    for node, n in zip(page.nodes, page.words, strict=True):
+        if not proper[node]:
+            words[node] += n
+    for node in range(len(words) - 1, 0, -1):  # children come after their parents
+        words[page.parents[node]] += words[node]
+        holds[page.parents[node]] |= holds[node]
+    marked = holds[0]
+    for node in range(1, len(words)):
+        if holds[node] or not marked and 2 * words[node] > words[0]:
+            page.signs[node] = [s for s in page.signs[node] if s[:2] not in ("c:", "n:")]
+            page.named[node] = False
+
+
+def _length(n: int) -> str:
+    """Bucket of a block's words: 1, 2, 3 to 4, 5 to 8 and so on."""
+    return f"l:{min(7, (n - 1).bit_length())}"
+
+
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
+def _prior(sign: str) -> float | None:
+    """Prior chance of content; None for what is judged by the pages alone."""
+    if sign[:2] in ("n:", "e:", "r:") or sign == "hidden":
+        return UNLIKELY
+    return 0.98 if sign == "m:content" else None
+
+
 class Weights:
-    """Weights of word contexts (0..1) and of tags (negative)."""
+    """Log odds of signs, learned from how often words and tags with them lie in the content."""
 
     def __init__(self, inside: dict[str, float] | None = None, counts: dict[str, float] | None = None, scale: float = 1.0):
         inside, counts = inside or {}, counts or {}
         self.scale = scale
-        self.share = {k: (inside.get(k, 0.0) + PRIOR * 0.5) / (counts[k] + PRIOR) for k in counts}
-
-    def of(self, kind: str, words: int, dropped: bool) -> float:
-        if words:
-            return words * (0.02 if dropped else max(0.05, self.share.get(kind, 0.5)))
-        return -self.scale * (0.1 + (1.0 if dropped else 1.0 - self.share.get(kind, 0.5)))
+        self.base = (inside.get("", 0.0) + PRIOR * 0.7) / (counts.get("", 0.0) + PRIOR)
+        self.odds: dict[str, float] = {}
+        for sign in counts:
+            if sign:
+                self.odds[sign] = self._odds(sign, inside.get(sign, 0.0), counts[sign])
+
+    def _odds(self, sign: str, inside: float, count: float) -> float:
+        prior = _prior(sign)
+        most = MOST_LOCAL if prior is None else MOST_NAMED
+        share = (inside + PRIOR * (self.base if prior is None else prior)) / (count + PRIOR)
+        return max(-most, min(most, _logit(min(0.999, max(0.001, share))) - _logit(self.base)))
+
+    def of(self, sign: str) -> float:
+        found = self.odds.get(sign)
+        if found is None:
+            found = self.odds[sign] = self._odds(sign, 0.0, 0.0)
+        return found
+
+    def named_odds(self, page: Page) -> list[float]:
+        """What the names of each node and of all around it say."""
+        out = [0.0] * len(page.parents)
+        for node in range(1, len(out)):
+            out[node] = out[page.parents[node]] + sum(self.of(s) for s in page.signs[node])
+        return out
+
+    def judge(self, page: Page, named: bool = True) -> tuple[list[float], list[float]]:
+        """(score, log odds of being content) of each token; ``named``: whether names count."""
+        of, base = self.of, _logit(self.base)
+        node_odds = self.named_odds(page) if named else [0.0] * len(page.parents)
+        block_odds = [of(_length(n)) + of(_linkage(k, n)) if n else 0.0 for n, k in zip(page.sizes, page.linked, strict=True)]
+        scores, odds = [], []
+        for kind, words, block, node in zip(page.kinds, page.words, page.blocks, page.nodes, strict=True):
+            total = base + node_odds[node] + (of("w:" + kind) + block_odds[block] if words else of("t:" + kind))
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+            odds.append(total)
+            scores.append(words * max(0.02, p) if words else -self.scale * (1.1 - p))
+        return scores, odds
+
+
+def _linkage(linked: int, words: int) -> str:
+    return "k:none" if not linked else "k:some" if 2 * linked < words else "k:most"
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -249,77 +312,85 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def region(page: Page, weights: Weights) -> tuple[int, int]:
-    of = weights.of
-    return best_region([of(k, w, d) for k, w, d in zip(page.kinds, page.words, page.dropped, strict=True)])
-
-
-def _ancestors(page: Page, node: int) -> list[int]:
-    out = []
-    while node >= 0:
-        out.append(node)
+def _element(page: Page, nodes: list[int]) -> tuple[int | None, int]:
+    """First and last node of the smallest element that holds all of ``nodes``; None if that is the page itself."""
+    ends = list(range(len(page.parents)))
+    for node in range(len(ends) - 1, 0, -1):
+        up = page.parents[node]
+        ends[up] = max(ends[up], ends[node])
+    node, last = min(nodes), max(nodes)
+    while ends[node] < last:
         node = page.parents[node]
-    return out
+    return (None, 0) if page.frames[node] else (node, ends[node])
 
 
 def main_text(html: str | None, weights: Weights) -> str:
     if not html:
         return ""
     page = parse(html)
-    a, b = region(page, weights)
-    held = [i for i in range(a, b) if page.words[i] and not page.dropped[i]]
-    if not held:
-        return ""
-    common = _ancestors(page, page.paths[held[0]])
-    for i in held[1:]:
-        if common[0] == page.paths[i]:
-            continue
-        own = set(_ancestors(page, page.paths[i]))
-        while common[0] not in own:
-            common.pop(0)
-    while page.names[common[0]] not in CONTAINERS:
-        common.pop(0)
-    # an article that holds the region is the content as a whole
-    whole = next((k for k in common if page.names[k] in ("article", "main")), common[0])
-    if page.names[whole] in ("body", "html"):
-        blocks = {page.blocks[i] for i in held}
+    scores, odds = weights.judge(page)
+    a, b = best_region(scores)
+    touched = [i for i in range(a, b) if page.words[i]]
+    kept = {page.blocks[i] for i in touched if odds[i] >= LEAVE_OUT}
+    if not kept:  # nothing here is built like content: only names speak against a block
+        named = weights.named_odds(page)
+        kept = {page.blocks[i] for i in touched if named[page.nodes[i]] >= LEAVE_OUT}
     else:
-        inside: dict[int, bool] = {whole: True, -1: False}
+        first, last = _element(page, [page.nodes[i] for i in touched if page.blocks[i] in kept])
+        if first is not None:
+            kept |= {b for b, k, o, n in zip(page.blocks, page.nodes, odds, page.words, strict=True) if n and o >= 0 and first <= k <= last}
+    lines = (" ".join("".join(page.texts[k]).split()) for k in sorted(kept))
+    return "\n".join(x for x in lines if x)
 
-        def within(node: int) -> bool:
-            if node not in inside:
-                inside[node] = within(page.parents[node])
-            return inside[node]
 
-        blocks = {page.blocks[i] for i in range(len(page.kinds)) if page.words[i] and not page.dropped[i] and within(page.paths[i])}
-    lines = (" ".join("".join(page.texts[k]).split()) for k in sorted(blocks))
-    return "\n".join(x for x in lines if x)
+def _labels(page: Page) -> list[bool]:
+    """Per token: inside an <article> or <main>, and in nothing there that is called like boilerplate."""
+    inside, out = [False] * len(page.parents), [False] * len(page.parents)
+    for node in range(1, len(inside)):
+        up = page.parents[node]
+        inside[node] = inside[up] or page.marked[node]
+        out[node] = out[up] or page.named[node] or any(s[:2] in ("e:", "r:") or s == "hidden" for s in page.signs[node])
+    return [inside[k] and not out[k] for k in page.nodes]
 
 
 def fit(pages: list[str]) -> Weights:
-    """Weights from labelled pages: context shares, then the tag scale whose regions agree best with the labels."""
-    parsed = [p for p in map(parse, pages) if any(x and w for x, w in zip(p.labelled, p.words, strict=True))]
-    inside: dict[str, float] = {}
-    counts: dict[str, float] = {}
-    for p in parsed:
-        per_in: dict[str, int] = {}
-        per_all: dict[str, int] = {}
-        for kind, w, label, dropped in zip(p.kinds, p.words, p.labelled, p.dropped, strict=True):
-            n = max(1, w)
-            per_all[kind] = per_all.get(kind, 0) + n
-            per_in[kind] = per_in.get(kind, 0) + n * (label and not dropped)
-        for kind, n in per_all.items():  # every page counts once, however long
-            counts[kind] = counts.get(kind, 0.0) + 1.0
-            inside[kind] = inside.get(kind, 0.0) + per_in[kind] / n
+    """Weights from labelled pages: shares of signs, then the tag scale whose regions agree best with the labels."""
+    parsed = [(p, _labels(p)) for p in map(parse, pages)]
+    parsed = [(p, labels) for p, labels in parsed if any(label and n for label, n in zip(labels, p.words, strict=True))]
+    inside: dict[str, float] = defaultdict(float)
+    counts: dict[str, float] = defaultdict(float)
+    for page, labels in parsed:
+        own: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        within = [[0.0, 0.0] for _ in page.parents]  # words of each node: in the content, and in all
+        for kind, n, block, node, label in zip(page.kinds, page.words, page.blocks, page.nodes, labels, strict=True):
+            signs = ["w:" + kind, _length(page.sizes[block]), _linkage(page.linked[block], page.sizes[block]), ""] if n else ["t:" + kind]
+            for sign in signs:
+                own[sign][0] += label * max(1, n)
+                own[sign][1] += max(1, n)
+            within[node][0] += label * n
+            within[node][1] += n
+        for node in range(len(within) - 1, 0, -1):
+            up = within[page.parents[node]]
+            up[0] += within[node][0]
+            up[1] += within[node][1]
+            for sign in page.signs[node]:
+                own[sign][0] += within[node][0]
+                own[sign][1] += within[node][1]
+        for sign, (a, b) in own.items():  # every page counts once, however long
+            if b:
+                inside[sign] += a / b
+                counts[sign] += 1.0
     best, chosen = -1.0, Weights(inside, counts)
     for scale in TAG_SCALES:
         weights, agreed = Weights(inside, counts, scale), 0.0
-        for p in parsed[:300]:
-            a, b = region(p, weights)
-            w, label = np.asarray(p.words), np.asarray(p.labelled) & ~np.asarray(p.dropped)
-            held = np.zeros(len(w), bool)
-            held[a:b] = True
-            agreed += w[held & label].sum() / max(1, w[held | label].sum())
+        for page, labels in parsed[:SCALE_PAGES]:
+            n, y = np.asarray(page.words), np.asarray(labels)
+            for named in (True, False):
+                scores, odds = weights.judge(page, named)
+                a, b = best_region(scores)
+                held = np.zeros(len(n), bool)
+                held[a:b] = np.asarray(odds[a:b]) >= LEAVE_OUT
+                agreed += n[held & y].sum() / max(1, n[held | y].sum())
         if agreed > best + 1e-9:
             best, chosen = agreed, weights
     return chosen
@@ -329,9 +400,9 @@ def extract(pages: DataFrame, html_col: str = "html", key_col: str = "page_id"):
     """A pandas UDF from html to main text, its weights fitted on a bounded sample of the labelled pages."""
     small_batches(pages.sparkSession)
     html = F.col(html_col).cast("string")
-    marked = pages.where(html.rlike("(?i)<(article|main)[\\s>]") & (F.length(html) <= FIT_CHARS)).select(F.col(key_col).cast("string").alias("k"), html.alias("h"))
-    sample = bounded_sample(marked, F.col("k"), FIT_PAGES).toPandas().sort_values(["k", "h"])
-    weights = fit(sample["h"].tolist())
+    marked = pages.where(html.rlike("(?i)<(article|main)[\\s>]")).select(F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("id"), html.alias("text"))
+    sample = fitting_rows(marked, None, FIT_PAGES, FIT_CHARS).sort_values(["id", "text"])
+    weights = fit(sample["text"].tolist())
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:

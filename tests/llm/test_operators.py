@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -356,6 +358,51 @@ def test_main_text(spark):
     assert html_extract.html_extraction(df.where("1 = 0")).count() == 0
 
 
+def bared(html):
+    """Without any name that tells the content: no <article>, no semantic elements, no classes, ids or roles."""
+    html = re.sub(r"<(/?)(article|main|nav|header|footer|aside)\b", r"<\1div", html)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html)
+
+
+def token_f1(found, wanted):
+    a, b = Counter(found.split()), Counter(wanted.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_learned_weights_find_the_content_of_pages_without_names(spark, sf):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect() if r["html"]]
+    weights = html_extract.fit(pages[::2])
+    held = [(bared(h), article_text(h)) for h in pages[1::2]]
+    fitted, unfitted = ([token_f1(html_extract.main_text(h, w), t) for h, t in held] for w in (weights, html_extract.Weights()))
+    exact = [html_extract.main_text(h, weights) == t for h, t in held]
+    assert np.mean(fitted) > 0.99 and np.mean(exact) > 0.95 and np.mean(unfitted) < np.mean(fitted) - 0.01
+    assert not any(html_extract.main_text(h, html_extract.Weights()) == t for h, t in held)
+
+
+def test_the_scan_decides(spark, sf):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect() if r["html"]]
+    weights = html_extract.fit(pages)
+    far = "<div>" * 40 + "</div>" * 40 + "<p>Read what others " + "wrote on this " * 12 + "</p>"
+    for h in [h for h in pages if len(article_text(h).split()) > 60][:20]:
+        page = bared(h) + far
+        text = html_extract.main_text(page, weights)
+        assert text == article_text(h)  # built like content, but too far from it
+        parsed = html_extract.parse(page)
+        odds = weights.judge(parsed)[1]
+        every = {parsed.blocks[i] for i in range(len(odds)) if parsed.words[i] and odds[i] >= html_extract.LEAVE_OUT}
+        unscanned = "\n".join(" ".join("".join(parsed.texts[k]).split()) for k in sorted(every))
+        assert unscanned != text and "Read what others" in unscanned
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    weights = html_extract.fit([PAGE] * 3)
+    inner = "<p>Some words of text for everyone to read here.</p>"
+    assert html_extract.main_text("<div>" * 5000 + inner + "</div>" * 5000, weights) == "Some words of text for everyone to read here."
+    for html in ("<b>" * 100_000 + "one two three four", "<b>x " * 30_000 + "<p>y " * 30_000, "<ul>" + "<li><i>x y z" * 30_000, "<div class='a b'>w " * 30_000, "</b>" * 100_000 + "x", "<p>" * 100_000 + "x y z a b c"):
+        start = time.time()
+        assert isinstance(html_extract.main_text(html, weights), str) and time.time() - start < 20
+
+
 def test_class_words_drop_no_content():
     weights = html_extract.fit([PAGE] * 3)
     text = html_extract.main_text(PAGE, weights)
@@ -379,14 +426,16 @@ def test_region_is_the_best_of_all():
         assert sum(scores[a:b]) == best
 
 
+def article_text(html):
+    body = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    parts = [" ".join(unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+    return "\n".join(x for x in parts if x)
+
+
 def test_driver_pages(spark, sf):
     found = html_extract.html_extraction(spark.read.parquet(f"{sf}/pages.parquet")).toPandas().set_index("page_id").text
-    from html import unescape
-
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
-        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        parts = [" ".join(unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
-        assert found[r["page_id"]] == "\n".join(x for x in parts if x)
+        assert found[r["page_id"]] == article_text(r["html"])
 
 
 # --- language, quality, toxicity -----------------------------------------------------------------
