@@ -8,8 +8,10 @@ costs as much as one with ten. The outcome is a list of rank ranges per length;
 rank up in it. Ranks come from bounded groups and prefix sums, so no length, however common, meets in
 one task.
 
-Defined cases: a null or empty text is the end id alone; repeated documents are packed once each; an
-empty table packs to no rows.
+Defined cases: a null or empty text is the end id alone; repeated documents are packed once each; pieces of equal
+length are ranked by a hash of document, piece and ids, and of bins with equal room the last opened is filled first;
+texts of any length are encoded whole and cut; a null id is kept; an empty table packs to no rows; further columns of
+``docs`` may have any name and are not returned.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 1024
 #: Pieces ranked by one window group.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
 
 

@@ -5,8 +5,12 @@ wide), ``k.off`` (n + 1 signed 64-bit offsets, in ids, within the shard) and ``k
 ids, signed 64-bit). Documents stand in ascending id order, so shards are ranges of ids; the place of a
 shard in the whole is the prefix sum of the shards before it.
 
+Documents are encoded where they lie and written once as ids; only these, not the texts, are then dealt by range.
+
 Defined cases: null text is empty and has the end id alone; a null document id sorts first and is read
-back as null; repeated ids stand side by side, ordered by text; an empty table makes no shard.
+back as null; repeated ids stand side by side in the order of their ids' crc32, and one id's documents are dealt
+over several shards where there are many; texts of any length are read whole; an empty table makes no shard; ids that
+the width does not hold, by the vocabulary's largest id or the end id, are refused; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import materialise, scratch_path, small_batches
 from .tokens import END_ID, default_tokenizer, encoder
 
 NULL_ID = -(2**63)
-SHARD_SCHEMA = "shard string, n_docs long, n_ids long, first_id long"
+SHARD_SCHEMA = "shard string, n_docs long, n_ids long, first_id long, first_tie long"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -59,23 +63,33 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     small_batches(spark)
     path = tokenizer or default_tokenizer()
     kind = {2: "<u2", 4: "<u4"}[width]
+    highest = max(encoder(path).highest, end_id)
+    if highest >= 1 << (8 * width):
+        raise ValueError(f"ids up to {highest} do not fit in {width} bytes; take width=4")
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = pairs.repartitionByRange(partitions, "doc_id") if partitions else pairs.repartitionByRange("doc_id")
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
+        for batch in batches:
+            flat = [tool.encode(t if isinstance(t, str) else None) + end for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tie": [zlib.crc32(x) for x in flat], "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in flat]})
+
+    made = materialise(pairs.mapInPandas(encoded, "doc_id long, tie long, ids binary"), "token-ids")
+    ranged = made.repartitionByRange(partitions, "doc_id", "tie") if partitions else made.repartitionByRange("doc_id", "tie")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = _files(folder)
-        tool, name = encoder(path), uuid.uuid4().hex
-        end = np.asarray([end_id], "<u4").tobytes()
-        out, lengths, ids = None, [], []
+        name = uuid.uuid4().hex
+        out, lengths, ids, ties = None, [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                flat = np.frombuffer(tool.encode(text if isinstance(text, str) else None) + end, "<u4")
+            for doc_id, tie, flat in zip(batch["doc_id"], batch["tie"], batch["ids"], strict=True):
                 if out is None:
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(f"{root}/{name}.ids", buffer_size=1 << 20)
-                out.write(flat.astype(kind).tobytes())
-                lengths.append(len(flat))
+                out.write(flat)
+                lengths.append(len(flat) // width)
                 ids.append(NULL_ID if pd.isna(doc_id) else int(doc_id))
+                ties.append(int(tie))
         if out is None:
             return
         out.close()
@@ -83,11 +97,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         for ending, values in (("off", offsets), ("doc", np.asarray(ids, "<i8"))):
             with system.open_output_stream(f"{root}/{name}.{ending}") as side:
                 side.write(values.tobytes())
-        yield pd.DataFrame({"shard": [name], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])], "first_id": [min(ids)]})
+        yield pd.DataFrame({"shard": [name], "n_docs": [len(ids)], "n_ids": [int(offsets[-1])], "first_id": [ids[0]], "first_tie": [ties[0]]})
 
-    made = ranged.sortWithinPartitions("doc_id", "text").mapInPandas(task, SHARD_SCHEMA).collect()  # a row per shard
+    made = ranged.sortWithinPartitions("doc_id", "tie").mapInPandas(task, SHARD_SCHEMA).collect()  # a row per shard
     shards, base = [], 0
-    for row in sorted(made, key=lambda r: r.first_id):
+    for row in sorted(made, key=lambda r: (r.first_id, r.first_tie)):
         shards.append((row.shard, row.n_docs, row.n_ids, base))
         base += row.n_ids
     return TokenSet(folder, width, shards)

@@ -4,7 +4,8 @@ A byte-level pre-tokenizer never joins a space to the token before it, so a text
 single space that stands between two non-spaces, each piece encoded on its own and the ids joined: the
 result equals encoding the whole text. Pieces repeat, so a bounded cache holds their ids. A piece of
 letters only is one pre-token and goes straight to the library's BPE model; any other goes through the
-whole library pipeline. A text with a space beside other white space is cut with more care.
+whole library pipeline. A text with a space beside other white space is cut with more care, and one that holds
+an added token of the vocabulary (such as ``<|endoftext|>``) is not cut: ids are those of the library's own call.
 """
 
 from __future__ import annotations
@@ -56,9 +57,11 @@ class PieceEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
+        # the library finds added tokens anywhere in a text: texts that hold one go through it whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.space = self.alphabet[32]
@@ -113,6 +116,8 @@ class PieceEncoder(dict):
         """Null and empty texts have no ids."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self._whole(text)
         try:
             head, *rest = text.split(" ")
             if not head or head[-1].isspace():

@@ -55,12 +55,11 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pieces_encode_like_whole_texts():
-    odd = ["a  b", "  x", " a", "a ", "\n\n a b\r\n c", " ", "", "a\x00b c", "it's a 'll ok 12 3 x's don't'", "\x85 x\xa0y z", "中文 test", "<|endoftext|> x", "a\n b", "x \n", "foo,\nBar baz's. ,, x...'' 'tis", "a '", "x² ½ ٣a ⅷb", "a é̃ à", "one\ntwo three\nfour", "e" * 200 + " f"]
+    odd = ["a  b", "  x", " a", "a ", "\n\n a b\r\n c", " ", "", "a\x00b c", "it's a 'll ok 12 3 x's don't'", "\x85 x\xa0y z", "中文 test", "<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|>b <|endoftext", "a\n b", "x \n", "foo,\nBar baz's. ,, x...'' 'tis", "a '", "x² ½ ٣a ⅷb", "a é̃ à", "one\ntwo three\nfour", "e" * 200 + " f"]
     made = PieceEncoder(default_tokenizer())
     for _ in range(2):  # cold and warm
         assert [list(np.frombuffer(made.encode(t), "<u4")) for t in odd] == whole(odd)
@@ -77,6 +76,8 @@ def test_files_round_trip(awkward, nothing, spark, tmp_path):
     ordered = [-1 if pd.isna(d) else int(d) for d in found.doc_id]
     assert ordered == sorted(ordered) and found.start.tolist() == np.concatenate([[0], np.cumsum(found.n_tokens)[:-1]]).tolist()
     assert token_files.token_files(nothing).count() == 0
+    with pytest.raises(ValueError):
+        token_files.write(awkward, f"file://{tmp_path}/narrow", end_id=1 << 16)
     written = token_files.write(awkward, f"file://{tmp_path}/set", width=4, partitions=2)
     assert written.n_ids == sum(map(len, ids)) and [s[3] for s in written.shards] == np.concatenate([[0], np.cumsum([s[2] for s in written.shards])[:-1]]).tolist()
 
