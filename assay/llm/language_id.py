@@ -4,15 +4,18 @@ For each language a suffix automaton of bounded labelled text is built. A text i
 longest matches: a phrase runs on while the automaton holds it and a new one starts where it fails.
 The language that needs the fewest phrases, normalised by text length and training length, wins.
 
-Parsing needs forward moves only, so an automaton becomes a table (state, letter) -> state with a mark
-where a phrase ends. Texts are cut into segments of ``SEGMENT`` letters, each parsed on its own, and all
-segments of a batch move through the table in step, as one array: whole texts, no per-letter Python.
+Parsing needs forward moves only, so an automaton becomes a table (state, letter) -> state; it is kept sparse, about
+a megabyte for ``TRAIN_LETTERS``, so that many languages can be held. Texts are cut into segments of ``SEGMENT``
+letters, each parsed on its own, and all segments of a batch move through the table in step, as one array: whole
+texts, no per-letter Python.
 
 Letters are lower-cased; everything else is a space, and runs of spaces are one. The ``OWN_CODES`` most
 frequent letters of the training text have a code each, all others share ``SHARED_CODES``.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; so is every text if nothing is
-labelled. Ties go to the language that sorts first. Repeated rows are predicted alike.
+labelled. Ties go to the language that sorts first. Repeated rows are predicted alike. Texts of any length are parsed
+whole; a language is learned from at most ``TRAIN_LETTERS`` letters, ``TRAIN_ROWS`` documents, and documents of up to
+``TRAIN_CHARS`` characters where there are any. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -95,25 +98,49 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return following
 
 
-def parsing_table(following: list[dict[int, int]], size: int) -> np.ndarray:
-    """(states + 1, size), flat: 2 * next state + whether a phrase ends before this letter."""
-    alone = len(following)  # the state after a letter that the training text lacks: a phrase of its own
-    start = np.full(size, alone, np.int64)
-    for c, t in following[0].items():
-        start[c] = t
-    table = np.tile(2 * start + 1, (alone + 1, 1))
-    table[0] = 2 * start
-    for s, moves in enumerate(following):
-        for c, t in moves.items():
-            table[s, c] = 2 * t
-    return table.astype(np.int32).ravel()
+def parsing_table(following: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, move): the moves of all states overlaid in one array, as sparse as the automaton.
+
+    The move of state s at letter c stands at base[s] + c if owner is s there; where it is not, a phrase ends and
+    the start's moves hold. A state after a letter that the training text lacks is one more state, without moves.
+    A suffix automaton of n letters has less than 2n states and 3n moves, so a table grows with its text alone.
+    """
+    states = len(following) + 1
+    base = np.zeros(states, np.int32)
+    moves = sum(map(len, following))
+    free = np.ones(4 * moves + 2 * size + 64, bool)
+    owner = np.full(len(free), -1, np.int32)
+    move = np.zeros(len(free), np.int32)
+    ends = 0
+    low = 0  # everything below is taken
+    for s in sorted(range(len(following)), key=lambda s: (-len(following[s]), s)):
+        letters = np.fromiter(following[s], np.int64, len(following[s]))
+        if not len(letters):
+            continue
+        first = int(letters.min())
+        while not free[low]:
+            low += 1
+        at = max(0, low - first)
+        if len(letters) == 1:
+            at = int(np.argmax(free[at + first :])) + at
+        else:
+            while not free[at + letters].all():
+                at += 1
+        spots = at + letters
+        free[spots] = False
+        owner[spots] = s
+        move[spots] = list(following[s].values())
+        base[s] = at
+        ends = max(ends, at + size)
+    return base, owner[: ends + size], move[: ends + size]
 
 
 class LanguageModel:
     def __init__(self, texts: dict[str, list[str]]):
         self.names = sorted(texts)
         self.letters = Letters([t for n in self.names for t in texts[n]])
-        self.tables, self.norm = [], []
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.norm: list[float] = []
         for n in self.names:
             codes = np.concatenate([self.letters.codes(t + " ") for t in texts[n]])[:TRAIN_LETTERS]
             self.tables.append(parsing_table(suffix_automaton(codes.tolist()), self.letters.size))
@@ -135,15 +162,19 @@ class LanguageModel:
         steps = np.ascontiguousarray(grid[order].T).astype(np.int32)
         active = np.searchsorted(-lengths[order], -np.arange(SEGMENT), "left")
         out = np.zeros((len(texts), len(self.names)))
-        for k, table in enumerate(self.tables):
+        for k, (base, owner, move) in enumerate(self.tables):
+            # the start's moves; a letter that it lacks leads to the last state, which has none
+            begin = np.where(owner[base[0] : base[0] + self.letters.size] == 0, move[base[0] : base[0] + self.letters.size], len(base) - 1).astype(np.int32)
             state, ends = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for i in range(SEGMENT):
                 n = active[i]
                 if not n:
                     break
-                move = table[state[:n] * self.letters.size + steps[i, :n]]
-                ends[:n] += move & 1
-                state[:n] = move >> 1
+                letter, own = steps[i, :n], state[:n]
+                at = base[own] + letter
+                held = owner[at] == own
+                ends[:n] += ~held & (i > 0)
+                state[:n] = np.where(held, move[at], begin[letter])
             ends += lengths[order] > 0
             out[:, k] = np.bincount(owner[order], ends, len(texts))
         return out
@@ -167,10 +198,16 @@ class LanguageModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2) -> LanguageModel:
     """Learn from the documents with a language whose crc32(id as text) mod 4 is not ``held_out``."""
     marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_of_id(F.col(id_col)) % 4 != held_out))
-    marked = marked.where(F.length(text_col).between(1, TRAIN_CHARS)).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
-    counts = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    text = F.col(text_col).cast("string")
+    marked = marked.where(F.length(text) > 0).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), text.alias("t"), (F.length(text) <= TRAIN_CHARS).alias("short"))
+    found = marked.groupBy("lang").agg(F.count_if("short").alias("n"), F.count(F.lit(1)).alias("all")).collect()
+    if not found:
         return LanguageModel({})
+    # where a language has long documents only, the beginnings of these teach it
+    counts = {r["lang"]: r["n"] or r["all"] for r in found}
+    long = [r["lang"] for r in found if not r["n"]]
+    marked = marked.where(F.col("short") | F.col("lang").isin(long)) if long else marked.where("short")
+    marked = marked.select("i", "lang", F.substring("t", 1, TRAIN_CHARS).alias("t"))
     # a hash threshold per language, sized from its count, leaves about TRAIN_ROWS documents of each
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * TRAIN_ROWS / n))]), F.col("lang"))
     hashed = F.pmod(F.xxhash64("i", F.lit("train")), F.lit(1_000_003)) / F.lit(1_000_003.0)

@@ -1,18 +1,21 @@
 """Toxicity after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over every document (a sum per task, then over tasks).
-2. A token that may be disguised - letters mixed with digits or signs, a letter three times or more in a
-   row, or single characters with spaces between them - is a lattice: each character may stand for itself
-   or for the letters it imitates, a sign between letters may be nothing, a run of one letter may be one or
-   two. Viterbi finds the best path under the trigram model and the channel's costs. Other tokens are
-   their own only path.
-3. The restored words are scored. Markers (words and word beginnings) are learned from labelled
-   documents by repeated covering: the marker that explains most toxic documents not yet explained
-   comes first, so copies of one document cannot make its rare words look toxic. A logistic regression
-   over how many markers a document holds, and how densely, gives the score.
+2. A token that may be disguised - letters mixed with digits or signs, signs that imitate letters, a letter three
+   times or more in a row, or single characters with white space between them - is a lattice: each character may
+   stand for itself or for the letters it imitates, a sign between letters may be nothing, a run of one letter may
+   be one or two. Viterbi finds the best path under the trigram model and the channel's costs. A word with doubled
+   letters is decoded where some reading of its runs could show a marker; other tokens are their own only path.
+3. The restored words are scored. Markers are learned from labelled documents by repeated covering: the marker
+   that explains most toxic documents not yet explained comes first, so copies of one document cannot make its
+   rare words look toxic. A marker is a word, or a beginning that one, two or three different words of a document
+   must share: the more of them, the fewer documents show that it is no accident. A logistic regression over how
+   many markers a document holds, and how densely, gives the score.
 
 Defined cases: null and empty texts score as documents without markers; with no labelled rows, or with
-labels of one kind only, the score is the smoothed share of toxic labels; repeated rows are scored alike.
+labels of one kind only, the score is the smoothed share of toxic labels; repeated rows are scored alike;
+where an id has several labels the highest holds; equal markers go by name; texts of any length are read whole
+(and learned from while they fit in ``FIT_CHARS``); numbers are read as numbers; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,25 +30,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_of_id, fit_logistic, sigmoid, small_batches
+from .common import crc_of_id, fit_logistic, fitting_rows, sigmoid, small_batches
 
-#: Labelled documents that the markers and the regression are fitted on, and the longest of them in characters.
-FIT_ROWS = 6_000
-FIT_CHARS = 200_000
+#: Labelled documents that the markers and the regression are fitted on, and the most characters of these in all.
+FIT_ROWS, FIT_CHARS = 6_000, 60_000_000
 #: What a character may imitate.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "×": "x", "*": "aeiou"}
 #: Signs that may stand between letters for nothing.
-FILLERS = set(".-_*~'`^=/\\,:;#%&​‌‍­")
+FILLERS = set(".-_*~'`^=/\\,:;#%&\u200b\u200c\u200d\u00ad")
 #: Costs of the channel, as natural logarithms.
 COST_IMITATE, COST_FILLER, COST_COLLAPSE, COST_DOUBLE = 0.7, 1.5, 0.2, 4.0
-#: A marker must explain this share of the toxic documents not yet explained often enough, and at least so many.
-MARKER_SHARE, MARKER_LEAST = 0.004, 4
+#: A marker must explain this share of the toxic documents not yet explained often enough, and at least so many: by how many words of a document must show it.
+MARKER_SHARE, MARKER_LEAST = 0.004, {0: 4, 1: 4, 2: 3, 3: 2}
 #: A toxic document counts as explained once this many markers stand in it.
 COVER = 3
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 ALPHABET = 64
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?=[.,;:!?]*(?!\S))")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?=[.,;:!?]*(?!\S))")
 _WORDS = re.compile(r"\S+")
 
 
@@ -152,7 +154,18 @@ def _bare(word: str) -> str:
 def _suspect(word: str) -> bool:
     if word.isalpha():
         return any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
-    return sum(c.isalpha() for c in word) >= 1 and len(word) >= 3 and not word.isdigit()
+    letters = sum(c.isalpha() for c in word)
+    if letters:
+        return len(word) >= 3
+    return len(word) >= 4 and not word.isdigit() and all(c in IMITATES or c in FILLERS for c in word) and any(c in IMITATES and not c.isdigit() for c in word)
+
+
+_RUN = re.compile(r"(.)\1+")
+
+
+def _single(word: str) -> str:
+    """Each run of one character as one: all readings of a word's runs agree in it."""
+    return _RUN.sub(r"\1", word)
 
 
 class Restorer(dict):
@@ -180,37 +193,60 @@ class Restorer(dict):
         """Restored runs of single characters; a run of one repeated character is no word."""
         out = []
         for run in _SPACED.findall(text):
-            joined = run.replace(" ", "").lower()
+            joined = "".join(run.split()).lower()
             if len(set(joined)) > 2:
                 out.append(restore(joined, self.model))
         return out
 
 
-def features_of(word: str) -> list[str]:
+#: A word, or a beginning, and how many different words of a document must show it (0: the whole word).
+Marker = tuple[str, int]
+
+
+def features_of(word: str) -> list[Marker]:
     """A restored word and its beginnings."""
-    return [word] + [word[:n] + "-" for n in PREFIXES if len(word) >= n]
+    return [(word, 0)] + [(word[:n], 1) for n in PREFIXES if len(word) >= n]
+
+
+def shown_by(words: set[str]) -> set[Marker]:
+    """The words of a document, and their beginnings once for each number of words (up to three) that share them."""
+    counts = Counter(f for w in words if len(w) >= 3 for f in features_of(w))
+    return set(counts) | {(f, k) for (f, prefix), n in counts.items() if prefix for k in (2, 3) if n >= k}
 
 
 class Markers:
     """Learned markers and the regression over them."""
 
-    def __init__(self, markers: set[str], beta: np.ndarray, base: float):
+    def __init__(self, markers: set[Marker], beta: np.ndarray, base: float):
         self.markers, self.beta, self.base = markers, beta, base
+        self.least = {(f, min(1, times)): max(1, times) for f, times in markers}
+        self.singles = {_single(f) for f, _ in markers}
+        self.lengths = sorted({len(x) for x in self.singles})
+
+    def holds(self, word: str) -> tuple[Marker, ...]:
+        """The markers that a restored word shows, however many words must."""
+        return tuple(f for f in features_of(word) if f in self.least)
+
+    def may_hold(self, word: str) -> bool:
+        """Whether some reading of a word's runs of letters could show a marker."""
+        single = _single(word)
+        return any(single[:n] in self.singles for n in self.lengths)
 
-    def holds(self, word: str) -> str | None:
-        """The marker that a restored word shows, the whole word first."""
-        return next((f for f in features_of(word) if f in self.markers), None)
+    def hits(self, shown: dict[str, tuple[Marker, ...]]) -> list[Marker]:
+        """From the markers of a document's different restored words: one per word that shows a marker shown often enough."""
+        counts = Counter(f for found in shown.values() for f in found)
+        return [enough[0] for found in shown.values() if (enough := [f for f in found if counts[f] >= self.least[f]])]
 
-    def inside(self, joined: str) -> list[str]:
-        """Whole-word markers inside a restored run of single characters, which has lost its word edges."""
-        return [m for m in self.markers if len(m) >= 4 and m.rstrip("-") in joined]
+    def inside(self, joined: str) -> list[Marker]:
+        """Markers inside a restored run of single characters, which has lost its word edges."""
+        return [m for m, times in self.least.items() if times == 1 and len(m[0]) >= 4 and m[0] in joined]
 
     @staticmethod
-    def row(hits: list[str], n_words: int) -> list[float]:
+    def row(hits: list[Marker], n_words: int) -> list[float]:
         # whether there is any marker counts most; how many and how densely refine it (smaller columns shrink more)
         return [float(bool(hits)), 0.1 * math.log1p(len(set(hits))), 0.1 * min(1.0, 20 * len(hits) / max(1, n_words))]
 
-    def score(self, hits: list[str], n_words: int) -> float:
+    def score(self, hits: list[Marker], n_words: int) -> float:
         if not self.markers:
             return self.base
         return float(sigmoid(np.asarray([*self.row(hits, n_words), 1.0]) @ self.beta))
@@ -223,6 +259,10 @@ def _varied(holders: np.ndarray, words: list[set[str]], dice: np.random.Generato
     return float(np.median(alike)) < 0.3
 
 
+def _akin(a: Marker, b: Marker) -> bool:
+    return a[0].startswith(b[0]) or b[0].startswith(a[0])
+
+
 def learn(texts: list[str], labels: list[int], restorer: Restorer) -> Markers:
     """Markers by repeated covering, then the regression; texts that begin or end alike count once for the markers."""
     shown, seen = [], set()
@@ -237,11 +277,11 @@ def learn(texts: list[str], labels: list[int], restorer: Restorer) -> Markers:
         if len(low) < 12 or not edges & seen:
             seen |= edges
             shown.append((words, label))
-    clean: Counter[str] = Counter()
-    holders: dict[str, list[int]] = defaultdict(list)
+    clean: Counter[Marker] = Counter()
+    holders: dict[Marker, list[int]] = defaultdict(list)
     toxic, toxic_words = 0, []
     for words, label in shown:
-        found = {f for w in words if len(w) >= 3 for f in features_of(w)}
+        found = shown_by(words)
         if label:
             for f in found:
                 holders[f].append(toxic)
@@ -251,41 +291,37 @@ def learn(texts: list[str], labels: list[int], restorer: Restorer) -> Markers:
             clean.update(found)
     n_clean = max(1, len(shown) - toxic)
     need = np.full(toxic, COVER)
-    pure = {f: np.asarray(h) for f, h in holders.items() if len(h) >= MARKER_LEAST and clean[f] / n_clean < 0.002 and (clean[f] + 0.5) / (len(h) + 1) <= 0.1}
-    markers: set[str] = set()
-    least = max(MARKER_LEAST, MARKER_SHARE * toxic)
-    # of beginnings that stand in the same documents the longest is as good and says most; words before beginnings
-    order = sorted(pure, key=lambda f: (-len(pure[f]), -len(f), f))
-    gains = {f: len(pure[f]) for f in order}
+    least = {times: max(n, MARKER_SHARE * toxic) for times, n in MARKER_LEAST.items()}
+    pure = {f: np.asarray(h) for f, h in holders.items() if len(h) >= least[f[1]] and clean[f] / n_clean < 0.002 and (clean[f] + 0.5) / (len(h) + 1) <= 0.17}
+    markers: set[Marker] = set()
+    # of beginnings that stand in the same documents the longest is as good and says most; beginnings before words
+    gains = {f: len(h) for f, h in pure.items()}
     dice = np.random.default_rng(7)
     while gains:
-        best = max(gains, key=lambda f: (gains[f], len(f), f))
+        best = max(gains, key=lambda f: (gains[f], len(f[0]), f[1] == 1, f))
         gain = int((need[pure[best]] > 0).sum())
+        if gain < least[best[1]]:
+            del gains[best]
+            continue
         if gain < gains[best]:
-            if gain < least:
-                del gains[best]
-            else:
-                gains[best] = gain
+            gains[best] = gain
             continue
-        if gain < least:
-            break
         del gains[best]
         if not _varied(pure[best], toxic_words, dice):
             continue
         markers.add(best)
         need[pure[best]] -= 1
-        root = best.rstrip("-")
-        for f in [f for f in gains if f.startswith(root) or root.startswith(f.rstrip("-"))]:
+        for f in [f for f in gains if _akin(f, best)]:
             del gains[f]  # the same marker, cut elsewhere
-    for f, holders_of in pure.items():  # explained by others already, but plain enough
-        if len(holders_of) >= max(20, 0.02 * toxic) and not clean[f] and not any(f.startswith(m.rstrip("-")) or m.startswith(f.rstrip("-")) for m in markers) and _varied(holders_of, toxic_words, dice):
+    for f in sorted(pure):  # explained by others already, but plain enough
+        if len(pure[f]) >= max(20, 0.02 * toxic) and not clean[f] and not any(_akin(f, m) for m in markers) and _varied(pure[f], toxic_words, dice):
             markers.add(f)
     fitted = Markers(markers, np.zeros(4), base)
     if not markers:
         return fitted
     x, y = [], []
     for words, spaced, n, label in rows:
-        hits = [m for w in words if (m := fitted.holds(w))] + [m for j in spaced for m in fitted.inside(j)]
+        hits = fitted.hits({w: m for w in words if (m := fitted.holds(w))}) + [m for j in spaced for m in fitted.inside(j)]
         x.append(Markers.row(hits, n))
         y.append(label)
     fitted.beta = fit_logistic(np.asarray(x), np.asarray(y, float), l2=0.05)
@@ -314,12 +350,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled documents outside the held-out fold (crc32 of the id as text, modulo ``held_out_of``, is 0)."""
     small_batches(docs.sparkSession)
     model = char_model(docs, text_col)
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y"))
-    marked = marked.where(crc_of_id(F.col("__id")) % held_out_of != 0).groupBy("__id").agg(F.max("__y").alias("__y"))
-    marked = bounded_sample(marked, F.col("__id"), FIT_ROWS)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.length("__t") <= FIT_CHARS)
-    rows = rows.join(F.broadcast(marked), "__id").toPandas().sort_values(["__id", "__t"])  # at most FIT_ROWS ids
-    return model, learn(rows["__t"].tolist(), rows["__y"].tolist(), Restorer(model))
+    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    marked = marked.where(crc_of_id(F.col("id")) % held_out_of != 0).groupBy("id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = fitting_rows(texts, marked, FIT_ROWS, FIT_CHARS).sort_values(["id", "text"])
+    return model, learn(rows["text"].tolist(), rows["label"].tolist(), Restorer(model))
 
 
 def scorer(docs: DataFrame, labels: DataFrame, **options):
@@ -336,14 +371,19 @@ def scorer(docs: DataFrame, labels: DataFrame, **options):
 
 
 class _Shown(dict):
-    """Word to the marker it shows, or None, kept while there is room."""
+    """Word to (restored word, the markers it shows), or None where it shows none; kept while there is room."""
 
     def __init__(self, restorer: Restorer, markers: Markers):
         super().__init__()
         self.restorer, self.markers = restorer, markers
 
-    def __missing__(self, word: str) -> str | None:
-        value = self.markers.holds(self.restorer[word])
+    def __missing__(self, word: str) -> tuple[str, tuple[Marker, ...]] | None:
+        restored = self.restorer[word]
+        found = self.markers.holds(restored)
+        if not found and _RUN.search(restored) and restored.isalpha() and self.markers.may_hold(restored):
+            restored = restore(restored, self.restorer.model)
+            found = self.markers.holds(restored)
+        value = (restored, found) if found else None
         if len(self) < 400_000:
             self[word] = value
         return value
@@ -362,7 +402,7 @@ def _worker_words(model: CharModel, markers: Markers) -> _Shown:
 def _score(text: str, words: _Shown, markers: Markers) -> float:
     raw = text.split()
     distinct = set(raw)
-    hits = [m for m in map(words.__getitem__, distinct) if m is not None]
+    hits = markers.hits(dict(m for m in map(words.__getitem__, distinct) if m is not None))
     if " " in text and _may_be_spaced(raw):
         hits += [m for joined in words.restorer.spaced(text) for m in markers.inside(joined)]
     return markers.score(hits, len(raw))

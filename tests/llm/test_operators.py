@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -538,13 +539,13 @@ def test_toxicity(spark, awkward, nothing):
                 body.insert(int(dice.integers(40)), w)
         rows.append((i, " ".join(body), "en", "a", 0))
         marks.append((i, 1, toxic))
-    masked = ["1d10t", "m o r o n", "l-o-s-e-r", "idiiiot"]
+    masked = ["1d10t", "m o r o n", "l-o-s-e-r", "idiiiot", "iidiioott", "m  o\to \nr o n", "looser", "SCUUM!"]
     hidden = [(1000 + k, " ".join([*dice.choice(words, 15), w, *dice.choice(words, 15)]), "en", "a", 0) for k, w in enumerate(masked)]
     docs, labels = spark.createDataFrame(rows + hidden, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     found = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
     held = [i for i, _, _ in marks if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(found[i]["held_out"] for i in held) and np.mean([found[i]["predicted"] == (i % 4 == 0) for i in held]) == 1.0
-    assert all(found[1000 + k]["predicted"] for k in range(4)), [found[1000 + k] for k in range(4)]
+    assert all(found[1000 + k]["predicted"] for k in range(8)), [found[1000 + k] for k in range(8)]
     kept = toxicity.clean(docs, labels)
     assert kept.columns == docs.columns and kept.where("doc_id < 600").count() == 450
     out = toxicity.toxicity(awkward, labels).toPandas()
@@ -552,6 +553,32 @@ def test_toxicity(spark, awkward, nothing):
     assert toxicity.toxicity(docs, labels.where("1 = 0")).where("predicted = 1").count() == 0
 
 
+def test_markers_by_force():
+    dice, words = np.random.default_rng(12), vocabulary(40, 9)
+    markers = toxicity.Markers({("abc", 1), (words[0], 0), (words[1][:3], 2), ("nom", 3)}, np.array([3.0, 1.0, 1.0, -2.0]), 0.1)
+    for _ in range(50):
+        own = set(dice.choice([*words, *(words[1][:3] + x for x in "xyz"), "abcd", "nomx", "nomy", "nomz", "aabbcc"], 12))
+        hits = markers.hits({w: m for w in own if (m := markers.holds(w))})
+        wanted = 0
+        for w in own:
+            for letters, times in markers.markers:
+                if w == letters or times and len(w) >= len(letters) and w[: len(letters)] == letters and sum(x[: len(letters)] == letters for x in own) >= times:
+                    wanted += 1
+                    break
+        assert len(hits) == wanted
+    assert all(markers.may_hold(w) for w in ("aabbccc", "abbc", words[0] + words[0][-1])) and not markers.may_hold("acb")
+
+
+@pytest.mark.parametrize(("scale", "recall", "precision"), [("sf0.01", 0.8, 0.95), ("sf0.1", 0.9, 0.95)])
+def test_toxicity_held_out(spark, scale, recall, precision):
+    folder = f"/root/testdata/{scale}"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    found = Q.op6_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").toPandas()
+    caught = ((found.predicted == 1) & (found.toxic == 1)).sum()
+    assert caught >= recall * found.toxic.sum() and caught >= precision * found.predicted.sum()
+
+
 # --- licenses ------------------------------------------------------------------------------------
 
 
