@@ -4,8 +4,8 @@ For each language a suffix automaton of bounded labelled text is built. A text i
 longest matches: a phrase runs on while the automaton holds it and a new one starts where it fails.
 The language that needs the fewest phrases, normalised by text length and training length, wins.
 
-Parsing needs forward moves only, so an automaton becomes a table (state, letter) -> state; it is kept sparse, about
-a megabyte for ``TRAIN_LETTERS``, so that many languages can be held. Texts are cut into segments of ``SEGMENT``
+Parsing needs forward moves only, so an automaton becomes a table (state, letter) -> state; it is kept sparse, so
+that many languages can be held. Texts are cut into segments of ``SEGMENT``
 letters, each parsed on its own, and all segments of a batch move through the table in step, as one array: whole
 texts, no per-letter Python.
 
@@ -36,6 +36,7 @@ TRAIN_LETTERS = 40_000
 TRAIN_ROWS = 200
 TRAIN_CHARS = 20_000
 SEGMENT = 512
+SLOTS = 2
 OWN_CODES, SHARED_CODES = 90, 16
 UNKNOWN = "und"
 
@@ -98,52 +99,53 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return following
 
 
-def parsing_table(following: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(base, owner, move): the moves of all states overlaid in one array, as sparse as the automaton.
+class Moves:
+    """The automaton's moves, nearly as sparse as itself: up to ``SLOTS`` moves of a state as (letter, next state), of the few others a row each.
 
-    The move of state s at letter c stands at base[s] + c if owner is s there; where it is not, a phrase ends and
-    the start's moves hold. A state after a letter that the training text lacks is one more state, without moves.
-    A suffix automaton of n letters has less than 2n states and 3n moves, so a table grows with its text alone.
+    A suffix automaton of n letters has less than 2n states and 3n moves, so a language's tables grow with its
+    training text alone. Where a state lacks a letter, a phrase ends and the start's moves hold; a letter that the
+    start lacks too leads to one more state, which has no moves.
     """
-    states = len(following) + 1
-    base = np.zeros(states, np.int32)
-    moves = sum(map(len, following))
-    free = np.ones(4 * moves + 2 * size + 64, bool)
-    owner = np.full(len(free), -1, np.int32)
-    move = np.zeros(len(free), np.int32)
-    ends = 0
-    low = 0  # everything below is taken
-    for s in sorted(range(len(following)), key=lambda s: (-len(following[s]), s)):
-        letters = np.fromiter(following[s], np.int64, len(following[s]))
-        if not len(letters):
-            continue
-        first = int(letters.min())
-        while not free[low]:
-            low += 1
-        at = max(0, low - first)
-        if len(letters) == 1:
-            at = int(np.argmax(free[at + first :])) + at
-        else:
-            while not free[at + letters].all():
-                at += 1
-        spots = at + letters
-        free[spots] = False
-        owner[spots] = s
-        move[spots] = list(following[s].values())
-        base[s] = at
-        ends = max(ends, at + size)
-    return base, owner[: ends + size], move[: ends + size]
+
+    def __init__(self, following: list[dict[int, int]], size: int):
+        states = len(following) + 1
+        wide = [s for s, moves in enumerate(following) if len(moves) > SLOTS]
+        self.size = size
+        self.letters = np.full((SLOTS, states), 255, np.uint8)
+        self.nexts = np.zeros((SLOTS, states), np.int32)
+        self.row = np.zeros(states, np.int32)  # row 0 has no moves
+        self.rows = np.full((len(wide) + 1, size), -1, np.int32)
+        self.begin = np.full(size, states - 1, np.int32)
+        for c, t in following[0].items():
+            self.begin[c] = t
+        for k, s in enumerate(wide):
+            self.row[s] = k + 1
+            for c, t in following[s].items():
+                self.rows[k + 1, c] = t
+        for s, moves in enumerate(following):
+            if len(moves) <= SLOTS:
+                for j, (c, t) in enumerate(moves.items()):
+                    self.letters[j, s], self.nexts[j, s] = c, t
+        self.rows = self.rows.ravel()
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether a phrase ended before the letter."""
+        to = self.rows[self.row[state] * self.size + letter]
+        for letters, nexts in zip(self.letters, self.nexts, strict=True):
+            to = np.where(letters[state] == letter, nexts[state], to)
+        ended = to < 0
+        return np.where(ended, self.begin[letter], to), ended
 
 
 class LanguageModel:
     def __init__(self, texts: dict[str, list[str]]):
         self.names = sorted(texts)
         self.letters = Letters([t for n in self.names for t in texts[n]])
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[Moves] = []
         self.norm: list[float] = []
         for n in self.names:
             codes = np.concatenate([self.letters.codes(t + " ") for t in texts[n]])[:TRAIN_LETTERS]
-            self.tables.append(parsing_table(suffix_automaton(codes.tolist()), self.letters.size))
+            self.tables.append(Moves(suffix_automaton(codes.tolist()), self.letters.size))
             self.norm.append(math.log2(len(codes) + 2))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -162,19 +164,15 @@ class LanguageModel:
         steps = np.ascontiguousarray(grid[order].T).astype(np.int32)
         active = np.searchsorted(-lengths[order], -np.arange(SEGMENT), "left")
         out = np.zeros((len(texts), len(self.names)))
-        for k, (base, owner, move) in enumerate(self.tables):
-            # the start's moves; a letter that it lacks leads to the last state, which has none
-            begin = np.where(owner[base[0] : base[0] + self.letters.size] == 0, move[base[0] : base[0] + self.letters.size], len(base) - 1).astype(np.int32)
+        for k, moves in enumerate(self.tables):
             state, ends = np.zeros(total, np.int32), np.zeros(total, np.int32)
             for i in range(SEGMENT):
                 n = active[i]
                 if not n:
                     break
-                letter, own = steps[i, :n], state[:n]
-                at = base[own] + letter
-                held = owner[at] == own
-                ends[:n] += ~held & (i > 0)
-                state[:n] = np.where(held, move[at], begin[letter])
+                state[:n], ended = moves.step(state[:n], steps[i, :n])
+                if i:
+                    ends[:n] += ended
             ends += lengths[order] > 0
             out[:, k] = np.bincount(owner[order], ends, len(texts))
         return out
