@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RID = "__rid"
+#: The row ordinal of a snapshot; data sets with a column of this name are refused.
+RID = "__assay_ordinal"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 STRING = (T.StringType, T.BinaryType)

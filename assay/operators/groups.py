@@ -13,6 +13,8 @@ from ..functions import distributions as D
 from ..functions.columns import as_double, col, cumulative, value_ranks
 
 SHAPIRO_ROWS = 5000
+#: Copies of one value that are numbered at once.
+COPIES = 10_000
 
 
 def labelled(df: DataFrame, group: str, metric: str, groups: list[str] | None = None) -> DataFrame:
@@ -136,11 +138,21 @@ def _dicts(df: DataFrame) -> list[dict[str, Any]]:
 
 
 def shapiro_by_group(pairs: DataFrame, labels: list[str]) -> dict[str, float | None]:
-    """Shapiro-Wilk p by group; above SHAPIRO_ROWS values a sample by hash of the value and a row number is tested."""
+    """Shapiro-Wilk p by group; above SHAPIRO_ROWS values a sample is tested.
+
+    The sample is of the least hashes of a value and its number among equal values, so it hangs on the values alone,
+    not on how rows are partitioned or ordered.
+    """
     n = {r["g"]: r["n"] for r in pairs.groupBy("g").agg(F.count("x").alias("n")).collect()}
     share = F.element_at(F.create_map(*[F.lit(v) for g, k in n.items() for v in (g, min(1.0, 1.2 * SHAPIRO_ROWS / k))]), F.col("g")) if n else F.lit(1.0)
-    rows = pairs.withColumn("u", F.rand(0)).where(F.col("u") <= share)
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("u"))).where(F.col("k") <= SHAPIRO_ROWS).select("g", "x").collect()
+    # equal values are numbered from their counts; no row is moved for it
+    equal = pairs.groupBy("g", "x").agg(F.count(F.lit(1)).alias("copies"))
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES)), lambda i: i * COPIES)
+    blocks = equal.withColumn("from", F.explode(steps))
+    numbered = blocks.withColumn("no", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + COPIES, F.col("copies")) - 1)))
+    u = (F.xxhash64("x", "no") / F.lit(float(2**64)) + 0.5).alias("u")
+    rows = numbered.select("g", "x", "no", u).where(F.col("u") <= share)
+    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("u", "x", "no"))).where(F.col("k") <= SHAPIRO_ROWS).select("g", "x").collect()
     out: dict[str, float | None] = {}
     for g in labels:
         found = D.shapiro_wilk([r["x"] for r in top if r["g"] == g])

@@ -42,9 +42,9 @@ def box_stats(df: DataFrame, y: str, x: str | None = None) -> DataFrame:
 
 
 def bars(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
-    """label, value: rows per label, or the mean of y; the most frequent labels first."""
+    """label, value: rows per label, or the mean of y; the most frequent labels first, one more than are drawn."""
     value = F.avg(as_double(col(y))) if y else F.count(F.lit(1)).cast("double")
-    return df.where(col(x).isNotNull()).groupBy(col(x).cast("string").alias("label")).agg(value.alias("value"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_BARS)
+    return df.where(col(x).isNotNull()).groupBy(col(x).cast("string").alias("label")).agg(value.alias("value"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_BARS + 1)
 
 
 def violin(df: DataFrame, y: str, x: str | None = None, points: int = 64) -> list[dict[str, Any]]:
@@ -68,6 +68,11 @@ def violin(df: DataFrame, y: str, x: str | None = None, points: int = 64) -> lis
     return out
 
 
+def _drawn(found: list[dict[str, Any]]) -> dict[str, Any]:
+    """The bars that are drawn, and whether there are more."""
+    return {"kind": "bar", "bars": found[:MOST_BARS], "truncated": len(found) > MOST_BARS}
+
+
 def plot_data(df: DataFrame, kind: str, x: str | None = None, y: str | None = None, hue: str | None = None, bins: int = 20) -> dict[str, Any]:
     """The data of one plot; raises ValueError with an error type."""
     if kind not in KINDS:
@@ -81,10 +86,10 @@ def plot_data(df: DataFrame, kind: str, x: str | None = None, y: str | None = No
     rows = lambda d: [r.asDict() for r in d.collect()]
     if kind == "hist":
         if not is_numeric(df, x):
-            return {"kind": "bar", "bars": rows(bars(df, x))}
+            return _drawn(rows(bars(df, x)))
         return {"kind": kind, "bins": rows(profile.histogram(df, x, bins).orderBy("bin"))}
     if kind == "bar":
-        return {"kind": kind, "bars": rows(bars(df, x, y))}
+        return _drawn(rows(bars(df, x, y)))
     if kind == "box":
         return {"kind": kind, "boxes": rows(box_stats(df, y, x).orderBy("grp"))}
     if kind == "violin":
@@ -95,8 +100,10 @@ def plot_data(df: DataFrame, kind: str, x: str | None = None, y: str | None = No
             raise ValueError("no_numeric_columns")
         return {"kind": kind, "columns": names, "cells": rows(G.correlation_pairs(df, names))}
     cols = [col(x).alias("x"), as_double(col(y)).alias("y")] + ([col(hue).cast("string").alias("hue")] if hue else [])
-    points = sample_points(df.where(col(x).isNotNull() & col(y).isNotNull())).select(*cols)
-    return {"kind": kind, "points": rows(points.orderBy("x") if kind == "line" else points)}
+    known = df.where(col(x).isNotNull() & col(y).isNotNull())
+    points = sample_points(known).select(*cols)
+    found = rows(points.orderBy("x") if kind == "line" else points)
+    return {"kind": kind, "points": found, "truncated": len(found) == MOST_POINTS and known.count() > MOST_POINTS}
 
 
 def regression_line(model: M.Fitted, df: DataFrame, predictor: str, points: int = 100) -> list[dict[str, float]]:

@@ -6,6 +6,7 @@ import math
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,28 +156,53 @@ def seeded_membership(sizes: list[tuple[str | None, int]], fraction: float, seed
     return masks, small
 
 
+#: The column that marks test rows.
+TEST = "__assay_test"
+#: Row ordinals of one task where rows are numbered within their key.
+CHUNK = 100_000
+
+
+def with_position(df: DataFrame, key: Column, starts: list[tuple[str | None, int]], name: str) -> DataFrame:
+    """df with ``name``: the start of the row's key plus its place, from 0, among the rows of that key in row order.
+
+    Rows are numbered within chunks of CHUNK ordinals and chunks by prefix sums of their counts, so that neither
+    the whole table nor a large stratum meets in one task.
+    """
+    k, chunk, base, start = (f"{name}_{x}" for x in ("key", "chunk", "base", "start"))
+    tagged = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
+    marked = df.withColumn(k, tagged(key)).withColumn(chunk, F.floor(F.col(RID) / CHUNK))
+    first = df.sparkSession.createDataFrame([("n" if v is None else f"v{v}", s) for v, s in starts], f"{k} string, {start} long")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(k).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = marked.groupBy(k, chunk).agg(F.count(F.lit(1)).alias("n")).withColumn(base, before).join(first, k).select(k, chunk, (F.col(base) + F.col(start)).alias(base))
+    place = F.row_number().over(Window.partitionBy(k, chunk).orderBy(RID)) - 1
+    return marked.join(bases, [k, chunk]).withColumn(name, F.col(base) + place).drop(k, chunk, base)
+
+
 def split_rows(df: DataFrame, fraction: float = 0.25, seed: int = 42, stratify_by: str | None = None) -> tuple[DataFrame, list[str | None]]:
-    """df with __test: a seeded permutation inside each stratum, over rows in row order.
+    """df with TEST: a seeded permutation inside each stratum, over rows in row order.
 
-    The permutation needs a place per row: bits, a megabyte per eight million rows. ``hash_split`` has no such bound.
+    The permutation is drawn on the driver and sent as one bit per row; ``hash_split`` has no such bound.
     """
     key = col(stratify_by).cast("string") if stratify_by else F.lit("")
     counts = {r["k"]: r["n"] for r in df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted((k for k in counts if k is not None)) + ([None] if None in counts else [])
     masks, small = seeded_membership([(k, counts[k]) for k in order], fraction, seed)
-    spark = df.sparkSession
-    place = F.row_number().over(Window.partitionBy(key).orderBy(RID)) - 1
-    rows = [(k, int(i)) for k, mask in zip(order, masks, strict=True) for i in np.flatnonzero(mask)]
-    tests = spark.createDataFrame(rows, "__tk string, __ti long")
-    ranked = df.withColumn("__k", key).withColumn("__i", place.cast("long"))
-    joined = ranked.join(tests.withColumn("__test", F.lit(True)), F.col("__k").eqNullSafe(F.col("__tk")) & (F.col("__i") == F.col("__ti")), "left")
-    return joined.withColumn("__test", F.coalesce("__test", F.lit(False))).drop("__k", "__i", "__tk", "__ti"), small
+    bits = df.sparkSession.sparkContext.broadcast(np.packbits(np.concatenate([*masks, np.zeros(0, bool)])))
+
+    @F.pandas_udf("boolean")
+    def is_test(at: pd.Series) -> pd.Series:
+        place = at.to_numpy("int64")
+        return pd.Series((bits.value[place >> 3] >> (7 - (place & 7))) & 1 == 1)
+
+    at = np.cumsum([0] + [counts[k] for k in order]).tolist()
+    placed = with_position(df, key, list(zip(order, at)), TEST)
+    return placed.withColumn(TEST, is_test(TEST)), small
 
 
 def hash_split(df: DataFrame, key: Column, fraction: float = 0.25, seed: int = 42) -> DataFrame:
-    """df with __test by a hash of ``key``: no shuffle, no driver state, stable when rows are added."""
+    """df with TEST by a hash of ``key``: no shuffle, no driver state, stable when rows are added."""
     share = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256), 1, 8), 16, 10).cast("long")
-    return df.withColumn("__test", share < F.lit(int(fraction * 2**32)))
+    return df.withColumn(TEST, share < F.lit(int(fraction * 2**32)))
 
 
 # --- cross-validation ----------------------------------------------------------------------------
@@ -199,14 +225,18 @@ def with_folds(df: DataFrame, design: formulas.Design, k: int, seed: int, strati
     if stratified and any(n < k for n in counts.values()):
         raise M.FitError("outcome_class_too_small", f"each class needs {k} rows")
     dice = np.random.RandomState(seed)
-    rows = []
-    for c in sorted(counts):
-        fold = np.empty(counts[c], np.int64)
-        fold[dice.permutation(counts[c])] = np.arange(counts[c]) % k
-        rows += [(float(c), i, int(f)) for i, f in enumerate(fold)]
-    places = df.sparkSession.createDataFrame(rows, "c double, i long, fold int")
-    ranked = data.withColumn("__c", key).withColumn("__i", (F.row_number().over(Window.partitionBy(key).orderBy(RID)) - 1).cast("long"))
-    return ranked.join(places, (F.col("__c") == F.col("c")) & (F.col("__i") == F.col("i"))).drop("__c", "__i", "c", "i")
+    order = sorted(counts)
+    at = np.cumsum([0] + [counts[c] for c in order])
+    dealt = np.empty(at[-1], np.uint8)
+    for c, start in zip(order, at):
+        dealt[start + dice.permutation(counts[c])] = np.arange(counts[c]) % k
+    shared = df.sparkSession.sparkContext.broadcast(dealt)  # a byte per row
+
+    @F.pandas_udf("int")
+    def fold_of(place: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[place.to_numpy("int64")].astype(np.int32))
+
+    return with_position(data, key.cast("long"), [(str(int(c)), int(s)) for c, s in zip(order, at)], "fold").withColumn("fold", fold_of("fold"))
 
 
 def cross_validate(df: DataFrame, formula: str, kind: str, robust: bool = False, k: int = 5, seed: int = 42, threshold: float = 0.5) -> dict[str, Any]:

@@ -110,3 +110,13 @@ def check(spark: SparkSession, sql: str) -> str:
         if name == "UnresolvedWith":
             nodes += [(r._2(), False) for r in _items(node.cteRelations())]
     return kind
+
+
+def own_limit(spark: SparkSession, sql: str) -> int | None:
+    """The LIMIT that the statement itself ends in, of a text that ``check`` lets pass."""
+    node = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    while _name(node) == "UnresolvedWith":
+        node = node.child()
+    if _name(node) != "GlobalLimit" or not node.limitExpr().foldable():
+        return None
+    return int(str(node.limitExpr().eval(None)))

@@ -477,20 +477,20 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH h AS (SELECT (('0x' || substr(sha256('42|' || o_orderkey::VARCHAR), 1, 8))::BIGINT < 1073741824) AS test FROM orders) SELECT test AS is_test, count(*) AS n FROM h GROUP BY 1")
 def split_hash(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.hash_split(table(spark, d, "orders"), F.col("o_orderkey")).groupBy(F.col("__test").alias("is_test")).agg(F.count(F.lit(1)).alias("n"))
+    return scoring.hash_split(table(spark, d, "orders"), F.col("o_orderkey")).groupBy(F.col(scoring.TEST).alias("is_test")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH n AS (SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1) SELECT value, round_even(n * 0.25, 0)::BIGINT AS test, n - round_even(n * 0.25, 0)::BIGINT AS train FROM n")
 def stratified_counts(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "orders").withColumn(RID, F.col("o_orderkey"))
     marked, _ = scoring.split_rows(df, 0.25, 42, "o_orderstatus")
-    return marked.groupBy(F.col("o_orderstatus").alias("value")).agg(F.count_if("__test").alias("test"), F.count_if(~F.col("__test")).alias("train"))
+    return marked.groupBy(F.col("o_orderstatus").alias("value")).agg(F.count_if(scoring.TEST).alias("test"), F.count_if(~F.col(scoring.TEST)).alias("train"))
 
 
 @query(None)
 def split_seeded(spark: SparkSession, d: str) -> DataFrame:
     marked, _ = scoring.split_rows(table(spark, d, "orders").withColumn(RID, F.col("o_orderkey")), 0.25, 42)
-    return marked.select("o_orderkey", F.col("__test").alias("is_test"))
+    return marked.select("o_orderkey", F.col(scoring.TEST).alias("is_test"))
 
 
 @query("WITH h AS (SELECT sha256(s_suppkey::VARCHAR || '|' || s_name) AS h FROM supplier) SELECT count(*) AS n, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS xor_a, bit_xor(('0x' || substr(h, 16, 15))::BIGINT) AS xor_b, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR AS sum_a, sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS sum_b FROM h")

@@ -102,6 +102,10 @@ def tool(record: bool = True) -> Callable:
     return wrap
 
 
+#: Rows of one answer.
+MOST_ROWS = 10_000
+
+
 class Session:
     def __init__(self, spark: SparkSession):
         self.spark = spark.newSession()
@@ -132,11 +136,19 @@ class Session:
 
     def _publish(self, name: str, df: DataFrame, **more: Any) -> Dataset:
         """Stage the snapshot fully, then swap it in: a failure before this changes nothing."""
+        if RID.lower() in (c.lower() for c in df.columns):
+            raise ToolError("reserved_column", f"{RID} is the name of the row ordinal", "rename the column")
+        return self._install(self._stage(name, df, **more))
+
+    def _stage(self, name: str, df: DataFrame, **more: Any) -> Dataset:
         stored = readers.snapshot(df, name, self.spark)
-        made = Dataset(name, stored, stored.count(), digest=provenance.table_digest(stored), revision=self.revision + 1, **more)
-        stored.drop(RID).createOrReplaceTempView(name)  # users do not see the ordinal
+        return Dataset(name, stored, stored.count(), digest=provenance.table_digest(stored), **more)
+
+    def _install(self, made: Dataset) -> Dataset:
+        made.df.drop(RID).createOrReplaceTempView(made.name)  # users do not see the ordinal
         self.revision += 1
-        self.datasets[name] = made
+        made.revision = self.revision
+        self.datasets[made.name] = made
         return made
 
     def _journal(self, op: str, **evidence: Any) -> str:
@@ -228,9 +240,11 @@ class Session:
 
     @tool()
     def query(self, sql: str, limit: int = 50, cursor: int = 0) -> dict[str, Any]:
-        if not 1 <= limit <= 10_000 or cursor < 0:
+        if not 1 <= limit <= MOST_ROWS or cursor < 0:
             raise ToolError("invalid_inputs", "limit must be 1 to 10000")
         kind = guard.check(self.spark, sql)
+        own = guard.own_limit(self.spark, sql)
+        limit = limit if own is None else min(max(own, 1), MOST_ROWS)  # the text's LIMIT wins, in pages of MOST_ROWS
         start = time.time()
         df = self.spark.sql(sql)
         rows = [r.asDict(True) for r in (df.offset(cursor) if cursor else df).limit(limit + 1).collect()]
@@ -270,14 +284,15 @@ class Session:
         marked, small = scoring.split_rows(d.df, test_fraction, seed, stratify_by)
         parts = {}
         for label, side in ((train, False), (test, True)):
-            own = marked.where(F.col("__test") == side).drop("__test").orderBy(RID)
-            parts[label] = self._publish(label, own, format="split")
+            parts[label] = self._stage(label, marked.where(F.col(scoring.TEST) == side).drop(scoring.TEST).orderBy(RID), format="split")
         checks = {n: provenance.membership_checksum(p.df) for n, p in parts.items()}
+        for part in parts.values():  # both are written by now
+            self._install(part)
         params = {"test_fraction": test_fraction, "seed": seed, "stratify_by": stratify_by, "train_name": train, "test_name": test}
         self._journal("split", name=name, params=params, overwrite=overwrite, checksums=checks, digests={n: p.digest for n, p in parts.items()})
         out: dict[str, Any] = {"train": {"name": train, "rows": parts[train].rows}, "test": {"name": test, "rows": parts[test].rows}, "checksums": checks, "small_strata": small}
         if stratify_by:
-            counts = marked.groupBy(col(stratify_by).cast("string").alias("value")).agg(F.count_if(~F.col("__test")).alias("train"), F.count_if("__test").alias("test"))
+            counts = marked.groupBy(col(stratify_by).cast("string").alias("value")).agg(F.count_if(~F.col(scoring.TEST)).alias("train"), F.count_if(scoring.TEST).alias("test"))
             out["strata"] = [r.asDict() for r in counts.orderBy(F.asc_nulls_last("value")).collect()]
         return out
 
@@ -480,8 +495,14 @@ def _compare(df: DataFrame, group: str, metric: str, labels: list[str] | None) -
 def _pairwise(df: DataFrame, group: str, metric: str, labels: list[str] | None, method: str, p_adjust: str | None, alpha: float) -> dict[str, Any]:
     if labels is not None and len(set(labels)) < len(labels):
         raise ToolError("duplicate_groups", "a group is named twice")
-    known = [r["g"] for r in _groups.label_counts(df, group).limit(1000).collect()]
-    chosen = sorted(str(g) for g in labels) if labels else sorted(known)
+    counts = _groups.label_counts(df, group)
+    if labels:
+        chosen = sorted(str(g) for g in labels)
+        if len(chosen) <= 20:
+            known = {r["g"] for r in counts.where(F.col("g").isin(chosen)).collect()}
+    else:  # one label more than are compared settles it
+        chosen = sorted(r["g"] for r in counts.limit(21).collect())
+        known = set(chosen)
     if len(chosen) < 3:
         raise ToolError("too_few_groups", "three groups are needed")
     if len(chosen) > 20:

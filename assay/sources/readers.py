@@ -51,8 +51,10 @@ def check_options(options: dict[str, Any] | None) -> dict[str, Any]:
     return out
 
 
-def sniff(path: str) -> str:
-    """The delimiter of a local file's beginning; a comma where it cannot be told."""
+def sniff(spark: SparkSession, path: str) -> str:
+    """The delimiter of a file's beginning; a comma where it cannot be told."""
+    if is_remote(path) or re.search(r"\.(gz|bz2|zst)$", path.lower()):
+        return _delimiter([r["value"] for r in spark.read.text(path).where("trim(value) != ''").limit(50).collect()])
     local = path.removeprefix("file://")
     if os.path.isdir(local):
         local = next((os.path.join(local, f) for f in sorted(os.listdir(local)) if not f.startswith((".", "_"))), "")
@@ -62,7 +64,10 @@ def sniff(path: str) -> str:
     except OSError:
         return ","
     lines = head.split("\n")
-    lines = [x for x in (lines[:-1] if len(head) == SNIFF_BYTES else lines) if x.strip()][:50]
+    return _delimiter([x for x in (lines[:-1] if len(head) == SNIFF_BYTES else lines) if x.strip()][:50])
+
+
+def _delimiter(lines: list[str]) -> str:
     best = (0, 0, ",")
     for rank, mark in enumerate(",;\t|"):
         widths = [len(r) for r in csv.reader(lines, delimiter=mark)]
@@ -72,7 +77,7 @@ def sniff(path: str) -> str:
 
 
 def read(spark: SparkSession, path: str, options: dict[str, Any] | None = None) -> DataFrame:
-    """A lazily read file. Types are inferred from all rows; nothing else is coerced."""
+    """A lazily read file. Types are inferred from all rows, whatever ``sample_size`` allows; nothing else is coerced."""
     kind, options = format_of(path), check_options(options)
     if not is_remote(path) and not os.path.exists(path.removeprefix("file://")):
         raise ReadError("file_not_found", path)
@@ -84,11 +89,15 @@ def read(spark: SparkSession, path: str, options: dict[str, Any] | None = None)
     if kind in ("json", "jsonl"):
         return reader.option("multiLine", kind == "json").json(path)
     known = {OPTIONS[k]: v for k, v in options.items() if k in OPTIONS}
-    known.setdefault("sep", "\t" if kind == "tsv" and "sep" not in known else sniff(path))
+    detect = bool(options.get("auto_detect", True))
+    known.setdefault("sep", "\t" if kind == "tsv" else sniff(spark, path) if detect else ",")
     header = str(known.pop("header", True)).lower() != "false" and "names" not in options
     skip = int(options.get("skip", 0))
-    reader = reader.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in known.items()}).option("header", header).option("samplingRatio", 1.0).option("escape", known.get("escape", '"')).option("multiLine", _has_quoted_newline(path, known.get("quote", '"')))
-    reader = reader.option("mode", "DROPMALFORMED" if options.get("ignore_errors") else "PERMISSIVE").option("inferSchema", not options.get("all_varchar", False))
+    broken = _has_quoted_newline(spark, path, known)
+    if skip and broken:
+        raise ReadError("bad_read_option", "skip counts lines, and some values of this file run over several")
+    reader = reader.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in known.items()}).option("header", header).option("samplingRatio", 1.0).option("escape", known.get("escape", '"')).option("multiLine", broken)
+    reader = reader.option("mode", "DROPMALFORMED" if options.get("ignore_errors") else "PERMISSIVE").option("inferSchema", detect and not options.get("all_varchar", False))
     types = options.get("columns") or options.get("types")
     source: Any = path
     if skip:
@@ -104,14 +113,21 @@ def read(spark: SparkSession, path: str, options: dict[str, Any] | None = None)
     return df
 
 
-def _has_quoted_newline(path: str, quote: str) -> bool:
-    """Whether the beginning of a file breaks lines inside quotes; only then does a file stop being splittable."""
-    try:
-        with open(path.removeprefix("file://"), encoding="utf-8", errors="replace") as f:
-            head = f.read(SNIFF_BYTES)
-    except (OSError, IsADirectoryError):
+def _has_quoted_newline(spark: SparkSession, path: str, known: dict[str, Any]) -> bool:
+    """Whether some line of the files holds an odd number of quotes; only then do files stop being splittable.
+
+    Every line is looked at, in one distributed scan that moves nothing. Lines of another encoding are not told.
+    """
+    if str(known.get("encoding", "utf-8")).lower().replace("-", "") not in ("utf8", "ascii", "usascii"):
+        return True
+    quote, escape = str(known.get("quote", '"')), str(known.get("escape", '"'))
+    if not quote:
         return False
-    return any(line.count(quote) % 2 for line in head.split("\n")[:-1])
+    line = F.col("value")
+    if escape and escape != quote:
+        line = F.replace(F.replace(line, F.lit(escape * 2), F.lit("")), F.lit(escape + quote), F.lit(""))
+    odd = (F.length(line) - F.length(F.replace(line, F.lit(quote), F.lit("")))) % (2 * len(quote)) != 0
+    return not spark.read.text(path).where(odd).limit(1).isEmpty()
 
 
 _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -186,9 +202,9 @@ def snapshot(df: DataFrame, label: str, spark: SparkSession | None = None) -> Da
     for p, n in sizes:
         starts.append((p, total))
         total += n
-    bases = spark.createDataFrame(starts, "__p long, __s long")
+    bases = spark.createDataFrame(starts, "__assay_part long, __assay_start long")
     place = F.col(RID).bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.withColumn("__p", part).join(F.broadcast(bases), "__p").withColumn(RID, place + F.col("__s")).drop("__p", "__s")
+    return stored.withColumn("__assay_part", part).join(F.broadcast(bases), "__assay_part").withColumn(RID, place + F.col("__assay_start")).drop("__assay_part", "__assay_start")
 
 
 def json_safe(value: Any) -> Any:
