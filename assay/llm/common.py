@@ -118,9 +118,9 @@ def fitting_rows(texts: DataFrame, marks: DataFrame | None, rows: int, chars: in
     in all; ids whose rows are longer than what is left are passed over. Null ids and texts teach nothing.
     """
     known = texts.where("id IS NOT NULL AND text IS NOT NULL")
-    own = known if marks is None else known.join(marks.select("id").distinct(), "id", "left_semi")
-    sizes = own.select("id", F.length("text").cast("long").alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
-    sizes = materialise(sizes, "fitting-sizes")
+    # lengths, not texts, are shuffled; written first, so that no plan moves the texts below the length
+    sizes = materialise(known.select("id", F.length("text").cast("long").alias("n")).groupBy("id").agg(F.sum("n").alias("n")), "fitting-sizes")
+    sizes = sizes if marks is None else sizes.join(marks.select("id").distinct(), "id", "left_semi")
     listed = bounded_sample(sizes, F.col("id"), rows).select("id", "n", F.xxhash64("id", F.lit("sample")).alias("h")).toPandas().sort_values("h", kind="stable")
     chosen, left = [], chars
     for i, n in zip(listed["id"], listed["n"], strict=True):
