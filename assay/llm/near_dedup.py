@@ -49,6 +49,8 @@ BLOCK_SHINGLES = 2_000_000
 PIVOTS = 16
 #: Candidate documents up to which their ids are broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words whose hashes a worker keeps.
+CACHE_WORDS = 100_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -60,7 +62,7 @@ class WordHashes(dict):
         import xxhash
 
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < CACHE_WORDS:
             self[word] = value
         return value
 

@@ -45,6 +45,8 @@ MARKER_SHARE, MARKER_LEAST = 0.004, {0: 4, 1: 4, 2: 3, 3: 2}
 #: A toxic document counts as explained once this many markers stand in it.
 COVER = 3
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Words that a worker keeps: as read, and as restored.
+CACHE_WORDS, CACHE_RESTORED = 100_000, 50_000
 
 ALPHABET = 64
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?=[.,;:!?]*(?!\S))")
@@ -185,7 +187,7 @@ class Restorer(dict):
             # signs at the edges may themselves be letters ("$cum", "tras#")
             if not value and low:
                 value = low
-        if len(word) <= 40 and len(self) < 200_000:
+        if len(word) <= 40 and len(self) < CACHE_RESTORED:
             self[word] = value
         return value
 
@@ -384,7 +386,7 @@ class _Shown(dict):
             restored = restore(restored, self.restorer.model)
             found = self.markers.holds(restored)
         value = (restored, found) if found else None
-        if len(self) < 400_000:
+        if len(self) < CACHE_WORDS:
             self[word] = value
         return value
 
