@@ -5,7 +5,9 @@ wide), ``k.off`` (n + 1 signed 64-bit offsets, in ids, within the shard) and ``k
 ids, signed 64-bit). Documents stand in ascending id order, so shards are ranges of ids; the place of a
 shard in the whole is the prefix sum of the shards before it.
 
-Documents are encoded where they lie and written once as ids; only these, not the texts, are then dealt by range.
+Documents are encoded where they lie, and only their ids, not the texts, are dealt by range. The ranges come from a
+bounded sample of document ids weighted by text bytes (it steers sizes, never which rows are written); an id that
+fills several ranges is cut at even steps of its documents' crc32.
 
 Defined cases: null text is empty and has the end id alone; a null document id sorts first and is read
 back as null; repeated ids stand side by side in the order of their ids' crc32, and one id's documents are dealt
@@ -15,6 +17,7 @@ the width does not hold, by the vocabulary's largest id or the end id, are refus
 
 from __future__ import annotations
 
+import bisect
 import os
 import uuid
 import zlib
@@ -26,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, small_batches
+from .common import scratch_path, small_batches
 from .tokens import END_ID, default_tokenizer, encoder
 
 NULL_ID = -(2**63)
+#: Text bytes meant for one shard, the most shards, and the rows of the sample that the ranges come from.
+SHARD_BYTES, MOST_SHARDS, SAMPLE_ROWS = 16 << 20, 10_000, 100_000
 SHARD_SCHEMA = "shard string, n_docs long, n_ids long, first_id long, first_tie long"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -53,6 +58,29 @@ class TokenSet:
         return sum(s[2] for s in self.shards)
 
 
+def cuts(pairs: DataFrame, partitions: int | None = None) -> list[tuple[int, int]]:
+    """Where each shard but the first begins, as (document id, crc32 of its ids), in ascending order."""
+    n = pairs.count()
+    share = min(1.0, 1.1 * SAMPLE_ROWS / max(n, 1))
+    sized = pairs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    found = (sized.sample(share, seed=0) if share < 1 else sized).toPandas().sort_values("doc_id", kind="stable")
+    total = found["size"].cumsum().to_numpy()
+    if not len(total):
+        return []
+    shards = partitions or int(np.clip(-(-total[-1] / share // SHARD_BYTES), 1, MOST_SHARDS))
+    # the sampled row that holds each even step of all bytes begins a shard
+    ids = found["doc_id"].to_numpy()[np.searchsorted(total, total[-1] * np.arange(1, shards) / shards)]
+    out = []
+    for doc_id, times in zip(*np.unique(ids, return_counts=True), strict=True):
+        out += [(int(doc_id), int(step * 2**32 // times)) for step in range(times)]
+    return out
+
+
+def shard_of(begins: list[tuple[int, int]], doc_id: int, tie: int) -> int:
+    """The shard of a document: how many of ``begins`` do not lie after it."""
+    return bisect.bisect_right(begins, (doc_id, tie))
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, width: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> TokenSet:
     """Encode ``docs`` and write them below ``folder``, a place that all executors reach.
 
@@ -68,14 +96,18 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         raise ValueError(f"ids up to {highest} do not fit in {width} bytes; take width=4")
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    begins = cuts(pairs, partitions)
+
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             flat = [tool.encode(t if isinstance(t, str) else None) + end for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tie": [zlib.crc32(x) for x in flat], "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in flat]})
+            ties = [zlib.crc32(x) for x in flat]
+            shard = [shard_of(begins, NULL_ID if pd.isna(d) else int(d), t) for d, t in zip(batch["doc_id"], ties, strict=True)]
+            yield pd.DataFrame({"shard": shard, "doc_id": batch["doc_id"].astype("Int64"), "tie": ties, "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in flat]})
 
-    made = materialise(pairs.mapInPandas(encoded, "doc_id long, tie long, ids binary"), "token-ids")
-    ranged = made.repartitionByRange(partitions, "doc_id", "tie") if partitions else made.repartitionByRange("doc_id", "tie")
+    made = pairs.mapInPandas(encoded, "shard int, doc_id long, tie long, ids binary")
+    ranged = made.repartitionById(len(begins) + 1, "shard").drop("shard")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = _files(folder)

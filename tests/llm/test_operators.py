@@ -83,6 +83,16 @@ def test_files_round_trip(awkward, nothing, spark, tmp_path):
     assert written.n_ids == sum(map(len, ids)) and [s[3] for s in written.shards] == np.concatenate([[0], np.cumsum([s[2] for s in written.shards])[:-1]]).tolist()
 
 
+def test_a_common_id_fills_several_shards_in_order(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, f"text number {i} " * (1 + i % 7)) for i in range(3000)] + [(7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written = token_files.write(df, f"file://{tmp_path}/set", partitions=12)
+    assert len(written.shards) == 12 and max(s[2] for s in written.shards) < 2 * written.n_ids / 12
+    found = token_files.read(spark, written).toPandas().sort_values("start", kind="stable")
+    order = [(-1 if pd.isna(d) else int(d), c) for d, c in zip(found.doc_id, found.ids_crc32, strict=True)]
+    assert len(found) == len(rows) and order == sorted(order) and found.start.tolist() == np.concatenate([[0], np.cumsum(found.n_tokens)[:-1]]).tolist()
+
+
 def best_fit(lengths, capacity):
     """One document at a time, the tightest open bin."""
     bins = []
