@@ -72,7 +72,7 @@ def cuts(pairs: DataFrame, partitions: int | None = None) -> list[tuple[int, int
     ids = found["doc_id"].to_numpy()[np.searchsorted(total, total[-1] * np.arange(1, shards) / shards)]
     out = []
     for doc_id, times in zip(*np.unique(ids, return_counts=True), strict=True):
-        out += [(int(doc_id), int(step * 2**32 // times)) for step in range(times)]
+        out += [(int(doc_id), step * 2**32 // (int(times) + 1)) for step in range(1, int(times) + 1)]
     return out
 
 
