@@ -12,7 +12,8 @@ block, and its hits are merged by document where there is more than one block.
 
 Defined cases: null or empty texts have no words and are never contaminated; null or wordless items match
 nothing; a null item id counts as the empty string; repeated items count once per distinct id; repeated
-documents give a row each (with several blocks, rows alike in id and text are merged first and dealt out again).
+documents give a row each (with several blocks, rows alike in id and text share one result); texts of any length
+are read whole; a hit on exactly a 20th of the words contaminates; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, carry: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``carry`` instead all columns of ``docs`` and __contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``carry`` instead the rows of ``docs`` that are not contaminated."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -207,9 +208,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
         if carry:
-            return docs.withColumn("__contaminated", judge(F.col(text_col).cast("string"))["contaminated"])
-        judged = docs.select(F.col(id_col).alias("doc_id"), judge(F.col(text_col).cast("string")).alias("__j"))
-        return judged.select("doc_id", "__j.*")
+            return docs.where(~judge(F.col(text_col).cast("string"))["contaminated"])
+        judged = docs.select(F.col(id_col).alias("doc_id"), judge(F.col(text_col).cast("string")).alias("j"))
+        return judged.select("doc_id", "j.*")
     return _by_blocks(docs, blocks, id_col, text_col, carry)
 
 
@@ -231,11 +232,10 @@ def _spotter(block):
 def _by_blocks(docs: DataFrame, blocks: list, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """Each block finds its spans on its own; they are merged by document (id and text, as a digest)."""
     key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.coalesce(F.col(text_col).cast("string"), F.lit("\x01"))), 256)
-    keyed = docs.withColumn("__key", key)
+    keyed = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
     found = None
     for block in blocks:
-        spot = _spotter(block)
-        part = keyed.dropDuplicates(["__key"]).select("__key", spot(F.col(text_col).cast("string")).alias("s")).select("__key", "s.*")
+        part = keyed.select("key", _spotter(block)("text").alias("s")).select("key", "s.*").dropDuplicates(["key"])  # spans are shuffled, not texts
         part = materialise(part, "spans")  # one broadcast at a time is in use
         found = part if found is None else found.union(part)
 
@@ -244,16 +244,16 @@ def _by_blocks(docs: DataFrame, blocks: list, id_col: str, text_col: str, carry:
         rows = [_verdict(int(a), list(zip(b[::2], b[1::2], strict=True)), set(c)) for a, b, c in zip(n, spans, items, strict=True)]
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    merged = found.groupBy("__key").agg(F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    judged = merged.select("__key", judge("n", "spans", "items").alias("__j")).select("__key", "__j.*")
+    merged = found.groupBy("key").agg(F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    judged = merged.select("key", judge("n", "spans", "items").alias("j")).select("key", "j.*")
     if carry:
-        return keyed.join(judged.select("__key", F.col("contaminated").alias("__contaminated")), "__key").drop("__key")
-    return keyed.select("__key", F.col(id_col).alias("doc_id")).join(judged, "__key").drop("__key")
+        return keyed.select("key", "row").join(judged.where("contaminated").select("key"), "key", "left_anti").select("row.*")
+    return keyed.select("key", "doc_id").join(judged, "key").drop("key")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    return contamination(docs, items, carry=True, **options).where("NOT __contaminated").drop("__contaminated")
+    return contamination(docs, items, carry=True, **options)
 
 
 #: The query as SQL over ``documents`` and ``benchmark`` (document ids are distinct there).

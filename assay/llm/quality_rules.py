@@ -8,7 +8,8 @@ clean document falls only with a host that fails almost always, and a small laps
 known for them.
 
 Defined cases: null text has no words and fails the base rule; a null host is one host of its own, named
-by the empty string; repeated rows count each and are all returned; an empty table returns no rows.
+by the empty string; repeated rows count each and are all returned; an empty table returns no rows; texts
+of any length are measured whole; odds of exactly even reject; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", co
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per document: doc_id, the measures, base_failed, host_rate, kept."""
+    """Per document: doc_id, the measures, base_failed, kept."""
     out = judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "text", "host", ["doc_id"])
     m = F.col("__m")
     return out.select("doc_id", m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["lines"]["dup"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
@@ -142,7 +143,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return judged(docs, text_col, host_col).where("__kept").drop("__m", "__base_failed", "__odds", "__kept")
+    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    return judged(packed, "text", "host", ["row"]).where("__kept").select("row.*")
 
 
 #: The query as SQL over ``documents``.

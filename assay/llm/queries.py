@@ -44,7 +44,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of the matches: how many, which licenses, the best coverage, and the first span in words."""
+    """The matches: how many, which licenses, the best coverage, the first span in words, and every match as license:start-end:coverage in percent."""
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     m = F.col("matches")
     return found.select(
@@ -54,6 +54,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform(m, lambda x: x["coverage"])).alias("coverage"),
         F.get(m, F.lit(0))["start"].cast("long").alias("first_start"),
         F.get(m, F.lit(0))["end"].cast("long").alias("first_end"),
+        F.array_join(F.transform(m, lambda x: F.format_string("%s:%d-%d:%.2f", x["license"], x["start"], x["end"], 100 * x["coverage"])), ";").alias("spans"),
     )
 
 

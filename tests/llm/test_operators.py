@@ -38,7 +38,7 @@ def awkward(spark):
     long = " ".join(words[i % 397] for i in range(30_000))
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "null id text", "en", None, 3), (3, long, "en", "a", len(long)), (4, "same words here again", "en", "a", 1), (4, "same words here again", "en", "a", 1), (5, "same words here again", None, "b", 1), (6, "  \n\t ", "de", "b", 4), (7, "été ça   naïve 中文 🙂 x" * 3, "fr", "b", 9), (8, "a b c d e f g h " * 40, "en", "a", 640), (9, "\x00 odd \x0b control", "en", "a", 5), (10, "<|endoftext|> token text", "en", "a", 5)]
     df = spark.createDataFrame(rows, DOCS)
-    clash = ("kept", "score", "n_words", "component_id", "key", "id", "print", "signature", "length", "matches", "u", "v", "node", "held_out", "a.b")
+    clash = ("kept", "score", "n_words", "component_id", "key", "id", "print", "signature", "length", "matches", "u", "v", "node", "held_out", "a.b", "row", "host", "shard", "tie", "j", "h", "__m", "__host", "__odds", "__failed", "__kept", "__base_failed", "__gone", "__key", "__contaminated", "__h", "__id", "__y", "__g")
     for c in clash:
         df = df.selectExpr("*", f"doc_id as `{c}`")
     return df
@@ -308,6 +308,9 @@ def test_contamination_of_awkward_rows(spark, awkward, nothing):
     items = spark.createDataFrame([(1, "same words here again")], "item_id long, text string")
     kept = decontaminate.decontaminated(awkward, items)
     assert kept.columns == awkward.columns and {4, 5} & {r["doc_id"] for r in kept.collect()} == set() and kept.count() == 9
+    two = items.union(spark.createDataFrame([(2, "not to be found")], items.schema))
+    blocked = decontaminate.decontaminated(awkward, two, block_windows=1)
+    assert blocked.columns == awkward.columns and sorted(map(repr, blocked.collect())) == sorted(map(repr, kept.collect()))
     assert decontaminate.contamination(nothing, items).count() == 0
     assert decontaminate.contamination(awkward, items.where("1 = 0")).where("contaminated").count() == 0
 
