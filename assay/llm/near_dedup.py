@@ -191,8 +191,7 @@ def _in_groups(rows: DataFrame, large: DataFrame, payload: str, forest: Callable
     share = F.least(PIVOTS / F.col("n"), 0.25 / F.col("blocks"))
     pivot = several & (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
     places = F.when(pivot, F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).otherwise(F.array(block(F.col("blocks"))))
-    first = materialise(linked(rows.withColumn("at", F.explode(places))), "links")
-    classes = connected_components(first)
+    classes = connected_components(linked(rows.withColumn("at", F.explode(places))))
     if large.isEmpty():
         return classes
     big = rows.where(several)
@@ -212,7 +211,7 @@ def _in_groups(rows: DataFrame, large: DataFrame, payload: str, forest: Callable
     home, own = block(F.col("of")), F.pmod(F.xxhash64("id", F.lit(13)), F.col("chunks")).cast("int")
     every = members.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c * F.col("of") + home)))
     guests = strays.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda b: own * F.col("of") + b))).where(F.col("at") % F.col("of") != home)
-    return connected_components(first.union(linked(every.union(guests))))
+    return connected_components(classes.select("node", "component").union(linked(every.union(guests))).toDF("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -265,6 +265,50 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_few_and_many_links(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    dice, n = np.random.default_rng(4), 400
+    edges = [(int(a), int(b)) for a, b in dice.integers(0, n, (240, 2))] + [(999, 600 + i) for i in range(50)] + [(2**62, -(2**62)), (5, None), (None, None)]
+    order = dice.permutation(200).tolist()
+    edges += [(1000 + a, 1000 + b) for a, b in zip(order[:-1], order[1:], strict=True)] * 2  # one long path in no order
+    least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert {r["node"]: r["component"] for r in found} == least and len(found) == len(least)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_near_duplicates_with_few_and_many_links(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    texts = copies()
+    found = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == components_by_force(texts, 3, 85)
+
+
+def test_few_links_in_many_partitions_take_few_tasks(spark):
+    before, settings = {}, {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        for key, value in settings.items():
+            before[key] = spark.conf.get(key)
+            spark.conf.set(key, value)
+        links = spark.range(3000).selectExpr("id as a", "id - id % 3 as b").repartition("a")
+        found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+        stages = {s for j in tracker.getJobIdsForGroup("few-links") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {i: i - i % 3 for i in range(3000)} and 97 <= tasks < 4 * 97
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 
