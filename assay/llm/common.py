@@ -20,6 +20,19 @@ BATCH_BYTES = 8 << 20
 #: A key of more rows than this may be hot; at most so many keys are taken as hot.
 HOT_ROWS, HOT_KEYS = 1_000, 100_000
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What this worker process keeps from task to task for ``owner``; what it kept for any other is let go.
+
+    Spark hands a worker on from stage to stage, so the caches of all operators would add up in it.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    return _kept[owner]
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, or set as the checkpoint folder; in local mode, where driver and executors are one process, a folder of our own."""

@@ -16,10 +16,14 @@ import string
 import sys
 from array import array
 
+from .common import kept
+
 END_ID = 2
 #: Pieces in each of the two generations that a worker keeps, and the longest piece worth keeping.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 CACHE_CHARS = 48
+#: Places where a piece leaves a mark the first time it is encoded.
+SEEN_MARKS = 1 << 21
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -63,6 +67,7 @@ class PieceEncoder(dict):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.older: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_MARKS)
         self.tails: dict[str, bytes] = {}
         self.space = self.alphabet[32]
         self.newline = self._whole("\n")
@@ -95,6 +100,7 @@ class PieceEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         """``piece`` followed a space, which it carries."""
         ids = self.older.get(piece)
+        again = ids is not None
         if ids is None:
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 raise _Spaced
@@ -106,9 +112,14 @@ class PieceEncoder(dict):
             else:
                 return self[left] + self.newline + self._word(right, "")
         if len(piece) <= CACHE_CHARS:
+            mark = hash(piece) % SEEN_MARKS
+            if not again and not self.seen[mark]:
+                self.seen[mark] = 1  # most rare pieces never come again: held from the second time on
+                return ids
             if len(self) >= CACHE_PIECES:
                 self.older = dict(self)
                 self.clear()
+                self.seen = bytearray(SEEN_MARKS)
             self[piece] = ids
         return ids
 
@@ -128,11 +139,9 @@ class PieceEncoder(dict):
             return self._whole(head) + b"".join([self[p] if len(p) <= CACHE_CHARS and not p[-1].isspace() else self._whole(" " + p) for p in rest])
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """One encoder per worker process and vocabulary, while no other operator has the worker."""
+    encoders = kept("tokens")
+    if path not in encoders:
+        encoders[path] = PieceEncoder(path)
+    return encoders[path]

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fit_logistic, fitting_rows, sigmoid, small_batches
+from .common import crc_of_id, fit_logistic, fitting_rows, kept, sigmoid, small_batches
 
 #: Labelled documents that the markers and the regression are fitted on, and the most characters of these in all.
 FIT_ROWS, FIT_CHARS = 6_000, 60_000_000
@@ -391,14 +391,12 @@ class _Shown(dict):
         return value
 
 
-_kept: list = []
-
-
 def _worker_words(model: CharModel, markers: Markers) -> _Shown:
     """One cache per worker and model; in it the restorer keeps disguised words only."""
-    if not _kept or _kept[0] is not markers:
-        _kept[:] = [markers, _Shown(Restorer(model), markers)]
-    return _kept[1]
+    own = kept("toxicity")
+    if own.get("markers") is not markers:
+        own |= {"markers": markers, "words": _Shown(Restorer(model), markers)}
+    return own["words"]
 
 
 def _score(text: str, words: _Shown, markers: Markers) -> float:

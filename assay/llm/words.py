@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import kept
+
 SEGMENT_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2^64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_powers: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,7 +25,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for n places."""
-    if not _powers or len(_powers[0]) < n:
+    own = kept("words")
+    if "powers" not in own or len(own["powers"][0]) < n:
         size = max(n, 2 * SEGMENT_BYTES)
         with np.errstate(over="ignore"):
             tables = []
@@ -32,8 +34,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
                 steps = np.full(size, np.uint64(base))
                 steps[0] = 1
                 tables.append(np.multiply.accumulate(steps))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+        own["powers"] = tables[0], tables[1]
+    return own["powers"]
 
 
 def _segment(flat: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -726,3 +726,30 @@ def test_pipeline(spark, sf):
     assert not any(r[-1] for r in contamination_by_force(left, items))
     packed = P.run(spark, sf).toPandas()
     assert set(packed.doc_id) == {i for i, _ in left} and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_a_worker_keeps_the_caches_of_one_operator_only():
+    from assay.llm import common, tokens, toxicity, words
+
+    model = toxicity.CharModel(np.zeros(toxicity.ALPHABET**3))
+    markers = toxicity.Markers(set(), np.zeros(4), 0.1)
+    shown = toxicity._worker_words(model, markers)
+    assert toxicity._worker_words(model, markers) is shown
+    words._power_tables(8)
+    assert list(common._kept) == ["words"]
+    made = tokens.encoder(default_tokenizer())
+    assert tokens.encoder(default_tokenizer()) is made and list(common._kept) == ["tokens"]
+    assert toxicity._worker_words(model, markers) is not shown
+
+
+def test_the_encoder_holds_a_piece_from_its_second_sight_on(monkeypatch):
+    from assay.llm import tokens
+
+    made = PieceEncoder(default_tokenizer())
+    once, text = "a " + " ".join(f"w{i}x" for i in range(50)), "b twice1 c twice1 d twice1"
+    assert made.encode(once) == made._whole(once) and len(made) < 5
+    assert made.encode(text) == made._whole(text) and "twice1" in made
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    for _ in range(3):
+        assert made.encode(once) == made._whole(once) and made.encode(text) == made._whole(text)
+        assert len(made) <= 3 and len(made.older) <= 5
